@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, simhash, token_output
+from . import exact_dedup, mixing, simhash, substring_dedup, token_output
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_source_mixing": mixing.op2_source_mixing,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op10_token_output": token_output.op10_token_output,
 }
 SQL = {"op2_source_mixing": mixing.SQL, "op3_exact_dedup": exact_dedup.SQL}
