@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, simhash, substring_dedup, token_output
+from . import exact_dedup, mixing, quality_fm, simhash, substring_dedup, token_output, toxicity_pu
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_source_mixing": mixing.op2_source_mixing,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op6_quality_fm": quality_fm.op6_quality_fm,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+    "op9_toxicity_nnpu": toxicity_pu.op9_toxicity_nnpu,
     "op10_token_output": token_output.op10_token_output,
 }
 SQL = {"op2_source_mixing": mixing.SQL, "op3_exact_dedup": exact_dedup.SQL}
