@@ -36,7 +36,8 @@ COUNT = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 120])
 WIDTH = np.array([60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0])
 FULLEST_FIRST = [15, *range(1, 15)]
 HEAD = struct.Struct("<4sIQQQQQ")
-WORDS_KEPT = 400_000  # entries of each of a worker's two caches; a full cache is emptied
+PIECES_KEPT = 400_000  # entries of a worker's cache, in a young and an old generation each
+AT_ONCE = 12 << 20  # bytes of text that a worker encodes together, or one document
 
 
 def pack(ids: np.ndarray, block: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,25 +46,26 @@ def pack(ids: np.ndarray, block: int = 1024) -> tuple[np.ndarray, np.ndarray, np
     n, none = len(ids), np.zeros(0, np.uint64)
     if not n:
         return none, none, none
-    bits = np.zeros(n, np.uint8)
-    rest = ids.copy()
-    for step in (32, 16, 8, 4, 2, 1):
-        big = rest >= np.uint64(1) << np.uint64(step)
-        bits[big] += step
-        rest[big] >>= np.uint64(step)
-    bits += (rest > 0).astype(np.uint8)
+    if int(ids.max()) < 1 << 53:
+        bits = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)  # bit lengths, exact below 2**53
+    else:
+        bits = np.array([int(x).bit_length() for x in ids], np.uint8)
     # Widest id among the next 2**k ids, past the end too wide for any.
     top = {1: np.concatenate((bits, np.full(128, 255, np.uint8)))}
     for k in (1, 2, 4, 8, 16, 32):
         top[2 * k] = top[k].copy()
         np.maximum(top[k][:-k], top[k][k:], out=top[2 * k][:-k])
-    left = block - np.arange(n) % block
-    choice, open_ = np.zeros(n, np.uint8), np.ones(n, bool)
+    left = np.resize(np.arange(block, 0, -1, dtype=np.int32), n)
+    least, choice, open_ = bits.min(), np.zeros(n, np.uint8), np.ones(n, bool)
     for s in FULLEST_FIRST:
+        if WIDTH[s] < least:
+            continue
         c, half = int(COUNT[s]), 1 << (int(COUNT[s]).bit_length() - 1)
-        fits = open_ & (np.maximum(top[half][:n], top[half][c - half : c - half + n]) <= WIDTH[s]) & (left >= c)
+        fits = np.maximum(top[half][:n], top[half][c - half : c - half + n]) <= np.uint8(WIDTH[s])
+        fits &= open_
+        fits &= left >= c
         choice[fits] = s
-        open_ &= ~fits
+        open_ ^= fits
     at, ends, starts = np.arange(0, n, block), np.minimum(np.arange(block, n + block, block), n), []
     while len(at):
         starts.append(at)
@@ -130,12 +132,40 @@ def block_of(data: bytes, k: int) -> np.ndarray:
     return unpack(words[int(firsts[k]) : end], escapes)
 
 
+class Kept(dict):
+    """What make(key) gives, kept in two generations: a full young one becomes the old one, whose used entries come back."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = got
+        return got
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """The picked segments of flat in turn."""
+    n = lengths[pick]
+    ends = np.cumsum(n)
+    at = np.repeat((starts[pick] - ends + n).astype(np.int32), n)
+    at += np.arange(len(at), dtype=np.int32)
+    return flat[at]
+
+
 class Encoder:
-    """encode(text): ids as little-endian u32 bytes, equal to the tokenizer's own.
+    """encode_batch(texts): ids equal to the tokenizer's own, as one array and the count of each text.
 
-    Where the file lower-cases, splits by a pattern that no white space passes, and merges bytes, words are encoded once
-    and kept: a word's pieces go to the same model without the tokenizer's own normalising, which takes most of its time.
-    Words beyond ASCII and U+00C0-U+00FF, texts with a special token and other kinds of tokenizer take its encode().
+    Where the file lower-cases, splits by a pattern that no white space passes, and merges bytes, the distinct words of a
+    batch are split once and each piece goes to the same model without the tokenizer's own normalising, which takes
+    most of its time; pieces are kept from batch to batch. Words beyond ASCII and U+00C0-U+00FF, texts with a special
+    token and other kinds of tokenizer take its encode().
     """
 
     def __init__(self, spec: str):
@@ -150,39 +180,69 @@ class Encoder:
             return
         import regex
 
-        self.pieces = regex.compile(made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        self.plain = regex.compile(r"[\x21-\x7eÀ-ÿ]+").fullmatch
+        pattern = made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.pieces_of = regex.compile(f"\n|{pattern}").findall
+        self.plain = regex.compile(r"[\x21-\x7eÀ-ÿ]*").fullmatch
+        self.all_plain = regex.compile(r"[\n\x21-\x7eÀ-ÿ]*").fullmatch
         # Bytes as the printable characters that byte-level vocabularies use: printable bytes are themselves, the rest follow from U+0100.
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        self.shown = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in shown)}
-        model, encoder = self.whole.model, self
-
-        class Pieces(dict):
-            def __missing__(self, piece):
-                if len(self) >= WORDS_KEPT:
-                    self.clear()
-                self[piece] = got = np.array([t.id for t in model.tokenize("".join(map(encoder.shown.__getitem__, piece.encode())))], "<u4").tobytes()
-                return got
-
-        class Words(dict):
-            def __missing__(self, word):
-                if len(self) >= WORDS_KEPT:
-                    self.clear()
-                got = b"".join(map(pieces.__getitem__, encoder.pieces(word.lower()))) if encoder.plain(word) else encoder.slow(word)
-                self[word] = got
-                return got
-
-        pieces, self.words = Pieces(), Words()
-
-    def slow(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if not self.by_word or any(s in text for s in self.special):
-            return self.slow(text)
-        for c in "\t\n\r\x0b\x0c":
-            text = text.replace(c, " ")
-        return b"".join(map(self.words.__getitem__, text.split(" "))) if text else b""
+        table = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in shown)}
+        model = self.whole.model
+        self.pieces = Kept(lambda piece: np.array([t.id for t in model.tokenize("".join(map(table.__getitem__, piece.encode())))], "<u4").tobytes(), PIECES_KEPT)
+
+    def slow(self, text: str) -> np.ndarray:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_batch(pa.array([text]))[0]
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words in turn, count of each)."""
+        line = "\n".join(words)
+        odd = {} if self.all_plain(line) else {k: self.slow(w) for k, w in enumerate(words) if not self.plain(w)}
+        if odd:
+            line = "\n".join("" if k in odd else w for k, w in enumerate(words))
+        number: dict[str, int] = {"\n": 0}
+        seq = np.array([number.setdefault(p, len(number)) for p in self.pieces_of(line.lower())], np.int32)
+        each = [b"", *map(self.pieces.__getitem__, list(number)[1:])]
+        flat = np.frombuffer(b"".join(each), "<u4")
+        lengths = np.array(list(map(len, each)), np.int32) // 4
+        starts = np.cumsum(lengths) - lengths
+        ids = _gather(flat, starts, lengths, seq)
+        upto = np.concatenate(([0], np.cumsum(lengths[seq])))[np.concatenate((np.flatnonzero(seq == 0), [len(seq)]))]
+        counts = np.diff(upto, prepend=0)
+        if odd:
+            parts = np.split(ids, upto[:-1])
+            parts = [odd.get(k, x) for k, x in enumerate(parts)]
+            ids, counts = np.concatenate(parts), np.array(list(map(len, parts)))
+        return ids.astype(np.uint32), counts
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        own = {}
+        if not self.by_word:
+            own = {k: self.slow(t.as_py()) for k, t in enumerate(texts)}
+        else:
+            for s in self.special:
+                for k in np.flatnonzero(pc.match_substring(texts, s).to_numpy(zero_copy_only=False)):
+                    own[int(k)] = self.slow(texts[int(k)].as_py())
+        if own:
+            texts = pc.if_else(pa.array([k in own for k in range(len(texts))]), "", texts)
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        pick = coded.indices.to_numpy()
+        if len(pick) and self.by_word:
+            flat, counts = self._words(coded.dictionary.to_pylist())
+            ids = _gather(flat, np.cumsum(counts) - counts, counts, pick)
+            upto = np.concatenate(([0], np.cumsum(counts[pick])))[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        else:
+            ids, upto = np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        if own:
+            parts = [own.get(k, ids[upto[k] : upto[k + 1]]) for k in range(len(texts))]
+            return np.concatenate(parts) if parts else ids, np.array(list(map(len, parts)), np.int64)
+        return ids, np.diff(upto)
 
 
 _encoders: dict[int, Encoder] = {}
@@ -193,27 +253,36 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_c
     with open(tokenizer_path, encoding="utf-8") as f:  # on the driver; a tokenizer file is a few MB whatever the input
         spec = spark.sparkContext.broadcast(f.read())
     key = zlib.crc32(spec.value.encode())
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(key) or _encoders.setdefault(key, Encoder(spec.value))
         part, seq, named, lengths, got, held = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(got), "<u4").astype(np.uint64)
+            ids = np.concatenate(got).astype(np.uint64)
             row = [[part], [seq], [len(named)], [len(ids)], [to_bytes(named, lengths, ids, block)]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["part", "seq", "n_docs", "n_ids", "shard"])
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = encoder.encode(text.as_py() or "") + end
-                named.append(doc_id)
-                lengths.append(len(ids) // 4)
-                got.append(ids)
-                held += lengths[-1]
-                if held >= shard_ids:
-                    yield flush()
-                    seq, named, lengths, got, held = seq + 1, [], [], [], 0
+            sizes = np.cumsum(np.array([len(t.as_buffer() or b"") if t.is_valid else 0 for t in b.column(1)], np.int64))
+            at = 0
+            while at < b.num_rows:
+                until = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + AT_ONCE, "right")))
+                ids, counts = encoder.encode_batch(b.column(1).slice(at, until - at))
+                ids = np.insert(ids, np.cumsum(counts), end_id)
+                ends = np.cumsum(counts + 1)
+                first = 0
+                for k, doc_id in enumerate(b.column(0).slice(at, until - at).to_pylist()):
+                    named.append(doc_id)
+                    lengths.append(int(counts[k]) + 1)
+                    held += lengths[-1]
+                    if held >= shard_ids:
+                        got.append(ids[first : ends[k]])
+                        first = ends[k]
+                        yield flush()
+                        seq, named, lengths, got, held = seq + 1, [], [], [], 0
+                got.append(ids[first:].copy())
+                at = until
         if named:
             yield flush()
 
