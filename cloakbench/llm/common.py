@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -34,11 +35,17 @@ def _forget(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
+def stash(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    release=True also lets Spark delete the shuffle files of finished steps, which it does when the driver collects garbage.
+    """
     spark = df.sparkSession
     path = f"{stash_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

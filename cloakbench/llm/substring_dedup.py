@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, stash
+from .common import documents, drop_stash, stash
 
 #: Odd multipliers of the two rolling hashes.
 MULTIPLY = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -118,17 +118,19 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
     made = T.StructType([T.StructField("id", id_type), T.StructField("key", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("sha", T.StringType()), T.StructField("seeds", T.ArrayType(T.LongType()))])
     scanned = stash(rows.mapInArrow(scan, made), "seeds")
+    meta = stash(scanned.select("id", "key", "n_words", "sha"), "meta")
 
     place = F.struct("id", "key")
     # Sequences of equal words: all but the earliest are copies.
-    firsts = stash(scanned.where(F.col("n_words") >= length).groupBy("sha").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "firsts")
-    copies = stash(scanned.select("id", "key", "sha").join(firsts, "sha").where(~place.eqNullSafe(F.col("first"))).select("key").distinct(), "copies")
+    firsts = stash(meta.where(F.col("n_words") >= length).groupBy("sha").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "firsts")
+    copies = stash(meta.select("id", "key", "sha").join(firsts, "sha").where(~place.eqNullSafe(F.col("first"))).select("key").distinct(), "copies")
 
     each = scanned.select("key", F.explode("seeds").alias("seed"))
-    twice = stash(each.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "repeated")
+    twice = stash(each.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "repeated", release=True)
     own = each.join(twice, "seed", "left_semi").groupBy("key").agg(F.collect_set("seed").alias("seeds"))
     own = own.join(copies, "key", "left_anti")
-    found = stash(rows.join(own, "key").select("id", "key", "text", "seeds"), "seeded")
+    found = stash(rows.join(own, "key").select("id", "key", "text", "seeds"), "seeded", release=True)
+    drop_stash(scanned)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,7 +146,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     shape = T.StructType([T.StructField("w1", T.LongType()), T.StructField("w2", T.LongType()), T.StructField("id", id_type), T.StructField("key", T.LongType()), T.StructField("start", T.IntegerType())])
     windows = stash(found.mapInArrow(extend, shape), "windows")
     place = F.struct("id", "key", "start")
-    earliest = stash(windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "earliest")
+    earliest = stash(windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "earliest", release=True)
     later = windows.join(earliest, ["w1", "w2"]).where(~place.eqNullSafe(F.col("first")))
     marks = later.groupBy("key").agg(F.collect_set("start").alias("starts"))
     marked = found.select("key", "text").dropDuplicates(["key"]).join(marks, "key")
@@ -164,7 +166,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     changed = marked.mapInArrow(cut, "key long, n_removed long, kept string, kept_sha256 string")
     none = copies.select("key", F.lit(None).cast("long").alias("n_removed"), F.lit("").alias("kept"), F.sha2(F.lit(""), 256).alias("kept_sha256"))
     changed = stash(changed.union(none), "changed")
-    out = scanned.select("id", "key", "n_words", "sha").join(changed.withColumn("hit", F.lit(True)), "key", "left")
+    out = meta.join(changed.withColumn("hit", F.lit(True)), "key", "left")
     n_removed = F.when(F.col("hit"), F.coalesce("n_removed", "n_words")).otherwise(F.lit(0)).cast("long")
     return out.select(F.col("id").alias(id_col), "n_words", n_removed.alias("n_removed"), "kept", F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
 
