@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality_fm, simhash, substring_dedup, token_output, toxicity_pu
+from . import decontam, exact_dedup, mixing, quality_fm, simhash, substring_dedup, token_output, toxicity_pu
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op2_source_mixing": mixing.op2_source_mixing,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_template_decontamination": decontam.op4_template_decontamination,
     "op6_quality_fm": quality_fm.op6_quality_fm,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_toxicity_nnpu": toxicity_pu.op9_toxicity_nnpu,
