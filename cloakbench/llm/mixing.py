@@ -94,10 +94,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     Rows that share an identifier and source share their draw, so copies are joined by both.
     """
     source = how.get("source_col", "source")
-    got = plan(docs, id_col, **how).groupBy(id_col, "source").agg(F.max("copies").alias("copies"))
-    got = got.select(F.col(id_col).alias("__id"), F.col("source").alias("__source"), "copies").where("copies > 0")
-    got = got.withColumnRenamed("copies", "__copies")
-    both = docs.join(got, docs[id_col].eqNullSafe(got["__id"]) & docs[source].eqNullSafe(got["__source"]))
+    got = plan(docs, id_col, **how).groupBy(id_col, "source").agg(F.max("copies").alias("__copies")).where("__copies > 0")
+    # An equality on one text key keeps the join an equi-join whatever the types, and null-safe.
+    named = lambda i, s: F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("\\N")), F.coalesce(F.concat(F.lit("s"), s), F.lit("null")))
+    got = stash(got.select(named(F.col(id_col), F.col("source")).alias("__key"), "__copies"), "copies")
+    both = docs.join(got, named(F.col(id_col), F.col(source)) == F.col("__key"))
     # No document is taken more than twice under the default cap; sequence() holds for any.
     return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[docs[c] for c in docs.columns])
 
