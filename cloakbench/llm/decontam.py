@@ -7,9 +7,9 @@ an item (difference of window positions) the values in matching slots are compar
 several slots must always meet the same document value, or the alignment is dropped. A document is contaminated by an item
 if consistent alignments cover at least `coverage` of the item's windows.
 
-Only windows with at least half their tokens as plain words are templates. The benchmark's windows are broadcast if they are
-at most `broadcast_windows`, else joined by shuffle. Document windows carry 20 bytes each and texts are read again only for
-documents with a match.
+Only windows with at least half their tokens as plain words are templates. If the benchmark has at most `listed_windows`
+distinct ones, their hashes form the build side as a set inside the scan, and no text or document window is shuffled; beyond that
+windows meet in a shuffled join and texts are read again for documents with a match.
 
 Defined cases: null or empty text has no windows; items under `width` tokens cannot be judged and match nothing; rows that
 share id and text are one document; a null id is reported as null; rows with equal results come once; extra columns are
@@ -57,12 +57,15 @@ def canonical(raw: Column) -> Column:
     return F.transform(raw, one)
 
 
-def _windows(rows: DataFrame, width: int, *keep: str) -> DataFrame:
-    """rows with raw tokens -> keep, at (from 0), h: one row a window."""
-    coded = rows.withColumn("canon", canonical(F.col("raw")))
-    last = F.size("canon") - width + 1
-    hashes = F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice("canon", i, width)))).otherwise(F.array().cast("array<bigint>"))
-    return coded.select(*keep, F.posexplode(hashes).alias("at", "h"))
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once: inside a lambda a copied expression would run once a window."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _hashed(canon: Column, width: int) -> Column:
+    """struct<at,h> of each window; null for a text under width tokens."""
+    last = F.size(canon) - width
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(canon, i + 1, width)).alias("h"))))
 
 
 def _slots(raw: Column, canon: Column, start: Column, width: int) -> Column:
@@ -72,7 +75,7 @@ def _slots(raw: Column, canon: Column, start: Column, width: int) -> Column:
     return F.filter(marked, lambda s: s["k"].isin("<num>", "<name>", "<unit>"))
 
 
-def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 8, coverage: float = 0.5, broadcast_windows: int = 200_000) -> DataFrame:
+def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 8, coverage: float = 0.5, listed_windows: int = 20_000) -> DataFrame:
     """(key, id, item, matched, item_windows, slots, changed): one row for each contaminated document and item.
 
     matched: windows of the item that consistent alignments cover; slots: the item's values compared; changed: how many of them
@@ -87,21 +90,17 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
     templates = stash(templates.select("item", "b_at", F.xxhash64(window).alias("h"), _slots(F.col("raw"), F.col("canon"), F.col("b_at"), width).alias("b_slots")).dropDuplicates(["item", "b_at"]), "templates")
     sizes = templates.groupBy("item").agg(F.countDistinct("b_at").alias("item_windows"))
 
-    lookup = templates.select("h", "item", "b_at")
-    if templates.count() <= broadcast_windows:
-        lookup = F.broadcast(lookup)
-    seen = _windows(rows.select("key", tokens(F.col("text")).alias("raw")), width, "key")
-    hits = stash(seen.join(lookup, "h").select("key", "at", "item", "b_at").distinct(), "hits")
+    known = [r.h for r in templates.select("h").distinct().limit(listed_windows + 1).collect()]
+    if len(known) <= listed_windows:
+        found = _found_by_list(rows, known, width)
+    else:
+        found = _found_by_join(rows, templates, width)
+    found = stash(found, "found")
 
-    # Only documents with enough of an item's windows are read again for the values in their slots.
+    # Of the documents with a match, those with enough of an item's windows.
+    hits = found.select("key", "id", "at", "h", "d_slots").join(templates, "h")
     many = hits.groupBy("key", "item").agg(F.countDistinct("b_at").alias("n")).join(sizes, "item").where(F.col("n") >= coverage * F.col("item_windows"))
-    hits = stash(hits.join(many.select("key", "item"), ["key", "item"], "left_semi"), "likely")
-    again = hits.groupBy("key").agg(F.collect_set("at").alias("ats"))
-    raw = rows.join(again, "key").select("key", "id", "ats", tokens(F.col("text")).alias("raw")).withColumn("canon", canonical(F.col("raw")))
-    slots = F.transform("ats", lambda a: F.struct(a.alias("at"), _slots(F.col("raw"), F.col("canon"), a, width).alias("d_slots")))
-    found = raw.dropDuplicates(["key"]).select("key", "id", F.explode(slots).alias("w")).select("key", "id", "w.at", "w.d_slots")
-
-    both = hits.join(found, ["key", "at"]).join(templates.select("item", "b_at", "b_slots"), ["item", "b_at"])
+    both = hits.join(many.select("key", "item"), ["key", "item"], "left_semi")
     both = stash(both.withColumn("shift", F.col("at") - F.col("b_at")), "aligned")
     pairs = both.select("key", "item", "shift", F.explode(F.arrays_zip("b_slots", "d_slots")).alias("s"))
     values = pairs.groupBy("key", "item", "shift", F.col("s.b_slots.v").alias("b")).agg(F.min("s.d_slots.v").alias("lo"), F.max("s.d_slots.v").alias("hi"))
@@ -111,6 +110,31 @@ def matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
     return out.join(sizes, "item").where(F.col("matched") >= coverage * F.col("item_windows")).select("key", "id", "item", "matched", "item_windows", "slots", "changed")
 
 
+def _found_by_list(rows: DataFrame, known: list[int], width: int) -> DataFrame:
+    """(key, id, at, h, d_slots) of windows whose hash is one of a bounded list: one scan, no shuffle."""
+    hit = lambda raw, canon: F.filter(_hashed(canon, width), lambda x: x["h"].isin(known))
+    return _with_slots(rows, hit, width)
+
+
+def _found_by_join(rows: DataFrame, templates: DataFrame, width: int) -> DataFrame:
+    """The same for any size of benchmark: windows meet by shuffle, then texts with a match are read again."""
+    seen = rows.select("key", F.explode_outer(_let(canonical_of(F.col("text")), lambda c: _hashed(c, width))).alias("w")).select("key", "w.at", "w.h")
+    hits = stash(seen.join(templates.select("h").distinct().hint("merge"), "h").distinct(), "hits")
+    again = hits.groupBy("key").agg(F.collect_set(F.struct("at", "h")).alias("hit"))
+    return _with_slots(rows.hint("merge").join(again, "key"), lambda raw, canon: F.col("hit"), width)
+
+
+def _with_slots(rows: DataFrame, hit, width: int) -> DataFrame:
+    """One row for each element of hit(raw, canon). explode_outer: for explode the optimiser would compute the array again in a filter."""
+    slots = lambda raw, canon: F.transform(hit(raw, canon), lambda x: F.struct(x["at"].alias("at"), x["h"].alias("h"), _slots(raw, canon, x["at"], width).alias("d_slots")))
+    every = _let(tokens(F.col("text")), lambda raw: _let(canonical(raw), lambda canon: slots(raw, canon)))
+    return rows.select("key", "id", F.explode_outer(every).alias("w")).where("w is not null").select("key", "id", "w.at", "w.h", "w.d_slots").distinct()
+
+
+def canonical_of(text: Column) -> Column:
+    return _let(tokens(text), canonical)
+
+
 def _key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
