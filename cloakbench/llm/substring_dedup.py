@@ -90,6 +90,19 @@ def seed_positions(words: list[bytes], length: int, seed_words: int) -> np.ndarr
     return grams[most == grams].view(np.int64)
 
 
+def _windows(h: np.ndarray, length: int) -> np.ndarray:
+    """The two hashes of each window."""
+    return np.stack([_runs(h[:, c], length, MULTIPLY[c]) for c in (0, 1)], 1)
+
+
+def _repeated(w: np.ndarray) -> np.ndarray:
+    """True for rows that an earlier row equals."""
+    order = np.lexsort((w[:, 1], w[:, 0]))  # stable: equal rows stay in their order
+    out = np.zeros(len(w), bool)
+    out[order[1:]] = (w[order[1:]] == w[order[:-1]]).all(1)
+    return out
+
+
 def removed(n_words: int, starts: np.ndarray, length: int) -> np.ndarray:
     delta = np.zeros(n_words + 1, np.int64)
     np.add.at(delta, starts, 1)
@@ -138,25 +151,32 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                 h = _word_hashes(b.column(2)[k].as_py().encode().split())
                 seeds = np.array(b.column(3)[k].values, np.int64)
                 starts = np.flatnonzero(np.isin(_seeds(h, length, seed_words)[1].view(np.int64), seeds))
+                both = _windows(h, length)[starts]
+                first = ~_repeated(both)  # a later one of the same document needs no search
+                both, starts = both[first], starts[first]
                 for at in range(0, len(starts), 10_000):
                     s = starts[at : at + 10_000]
-                    w = [pa.array(_runs(h[:, c], length, MULTIPLY[c])[s].view(np.int64), pa.int64()) for c in (0, 1)]
+                    w = [pa.array(both[at : at + 10_000, c].view(np.int64), pa.int64()) for c in (0, 1)]
                     yield pa.RecordBatch.from_arrays([*w, pa.array([b.column(0)[k].as_py()] * len(s), b.schema.field(0).type), pa.array([b.column(1)[k].as_py()] * len(s), pa.int64()), pa.array(s, pa.int32())], ["w1", "w2", "id", "key", "start"])
 
     shape = T.StructType([T.StructField("w1", T.LongType()), T.StructField("w2", T.LongType()), T.StructField("id", id_type), T.StructField("key", T.LongType()), T.StructField("start", T.IntegerType())])
-    windows = stash(found.mapInArrow(extend, shape), "windows")
+    # Made twice rather than stored: windows of repeated seeds can outweigh the texts.
+    windows = found.mapInArrow(extend, shape)
     place = F.struct("id", "key", "start")
     earliest = stash(windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "earliest", release=True)
     later = windows.join(earliest, ["w1", "w2"]).where(~place.eqNullSafe(F.col("first")))
     marks = later.groupBy("key").agg(F.collect_set("start").alias("starts"))
-    marked = found.select("key", "text").dropDuplicates(["key"]).join(marks, "key")
+    marks = stash(marks, "marks", release=True)
+    marked = found.select("key", "text").dropDuplicates(["key"]).join(marks, "key", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, counts, kept, digests = b.column(0), [], [], []
             for k in range(b.num_rows):
                 words = b.column(1)[k].as_py().encode().split()
-                gone = removed(len(words), np.array(b.column(2)[k].values, np.int64), length)
+                starts = b.column(2)[k].values if b.column(2)[k].is_valid else []
+                own = np.flatnonzero(_repeated(_windows(_word_hashes(words), length)))
+                gone = removed(len(words), np.union1d(np.array(starts, np.int64), own), length)
                 line = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
                 counts.append(int(gone.sum()))
                 kept.append(line.decode())
