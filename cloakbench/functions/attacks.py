@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
-from .checks import choose
+from .checks import choose, let
 from .spans import SPAN
 
 
@@ -50,9 +50,11 @@ def split_token(t: Column) -> Column:
 
 def chunking(v: Column) -> Column:
     """Quoted pieces joined by plus signs; one piece stays bare, an empty text empty."""
-    parts = F.flatten(F.transform(smart_split(v), split_token))
-    quoted = F.concat(F.lit('"'), F.array_join(parts, '" + "'), F.lit('"'))
-    return F.when(F.size(parts) > 1, quoted).otherwise(F.array_join(parts, ""))
+
+    def quoted(parts: Column) -> Column:
+        return F.when(F.size(parts) > 1, F.concat(F.lit('"'), F.array_join(parts, '" + "'), F.lit('"'))).otherwise(F.array_join(parts, ""))
+
+    return let(F.flatten(F.transform(smart_split(v), split_token)), quoted)
 
 
 def invisible(v: Column, char: str) -> Column:
@@ -146,11 +148,19 @@ def term_pattern(terms: list[str]) -> str:
 def fuzz_terms(text: Column, types: Column, method: str = "homoglyph") -> Column:
     """Whole-word terms of the types present, through homoglyph or emojify; longer terms first."""
     fuzz = {"homoglyph": homoglyph, "emojify": emojify}[method]
-    for kind in L.TYPES:
+
+    def through(kind: str) -> Callable[[Column], Column]:
         pattern = term_pattern(L.TERMS[kind] + L.UNIVERSAL_TERMS)
-        pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        changed = F.array_join(F.zip_with(pieces, hits, lambda p, h: F.concat(p, F.coalesce(fuzz(h), F.lit("")))), "")
-        text = F.when(F.array_contains(types, kind), changed).otherwise(text)
+
+        def changed(t: Column) -> Column:
+            pieces, hits = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+            new = F.array_join(F.zip_with(pieces, hits, lambda p, h: F.concat(p, F.coalesce(fuzz(h), F.lit("")))), "")
+            return F.when(F.array_contains(types, kind), new).otherwise(t)
+
+        return changed
+
+    for kind in L.TYPES:
+        text = let(text, through(kind))
     return text
 
 
@@ -175,7 +185,7 @@ def supportive_context(text: Column, spans: Column, replace_with: str = "emoji",
     new = replace_names(text, replace_with)
     if surrounding:
         new = fuzz_terms(new, F.transform(spans, lambda s: s["type"]), method)
-    return F.struct(new.alias("text"), locate_again(new, spans).alias("spans"))
+    return let(new, lambda t: F.struct(t.alias("text"), locate_again(t, spans).alias("spans")))
 
 
 def affix(text: Column, spans: Column, key: str) -> Column:

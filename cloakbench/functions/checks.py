@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from . import lexicon as L
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body uses it: optimisers would copy a plain expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def pick(key: Column, salt: str, n: int) -> Column:
     """A number below n from the md5 of key and salt: stands for a random choice and is the same in any engine."""
     digest = F.md5(F.concat_ws("|", key.cast("string"), F.lit(salt)))

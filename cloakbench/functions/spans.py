@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .checks import card_valid, has_subsequence, iban_valid, normalize, ssn_valid
+from .checks import card_valid, has_subsequence, iban_valid, let, normalize, ssn_valid
 
 SPAN = "struct<value:string,start:int,end:int,type:string,value_fuzzy:string,score:double,recognizer:string>"
 SCORE = "struct<exact_match:boolean,true_positive:int,false_positive:int,false_negative:int,precision:double,recall:double,f1:double>"
@@ -109,21 +109,29 @@ def score_spans(true: Column, pred: Column, level: str = "both", method: str = "
         raise ValueError(f"unknown match level {level!r}")
     empty = F.array().cast("array<struct<v:string,t:string>>")
     clean = lambda spans: F.coalesce(F.transform(spans, lambda s: F.struct(normalize(s["value"]).alias("v"), s["type"].alias("t"))), empty)
-    t, p = clean(true), clean(pred)
 
     def fits(a: Column, b: Column) -> Column:
         by_value, by_type = value_matches(b["v"], a["v"], method), F.coalesce(a["t"] == b["t"], F.lit(False))
         return {"value": by_value, "type": by_type, "both": by_value & by_type}[level]
 
-    # 1-based number of the first fitting prediction for each true span, 0 if there is none.
-    first = F.transform(t, lambda a: F.coalesce(F.array_position(F.transform(p, lambda b: fits(a, b)), True), F.lit(0)))
-    hit = F.filter(first, lambda j: j > 0)
-    nt, np_ = F.size(t), F.size(p)
-    binary = (np_ == 1) & (F.coalesce(F.try_element_at(p, F.lit(1))["t"], F.lit("")) == "pii") & (F.coalesce(F.try_element_at(p, F.lit(1))["v"], F.lit("x")) == "")
-    tp = F.when(binary, nt).otherwise(F.size(hit))
-    fp = F.when(binary, F.when(nt > 0, 0).otherwise(1)).otherwise(np_ - F.size(F.array_distinct(hit)))
-    fn = F.when(binary, 0).otherwise(nt - F.size(hit))
-    precision, recall = safe_divide(tp, tp + fp), safe_divide(tp, tp + fn)
-    f1 = safe_divide(2 * precision * recall, precision + recall)
-    score = F.struct(((tp - fp - fn) == nt).alias("exact_match"), tp.cast("int").alias("true_positive"), fp.cast("int").alias("false_positive"), fn.cast("int").alias("false_negative"), precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
-    return F.when((nt > 0) | (np_ > 0), score)
+    def counted(x: Column) -> Column:
+        """1-based number of the first fitting prediction of each true span that has one, beside the two sides."""
+        first = F.transform(x["t"], lambda a: F.coalesce(F.array_position(F.transform(x["p"], lambda b: fits(a, b)), True), F.lit(0)))
+        lone = F.get(x["p"], F.lit(0))
+        binary = (F.size(x["p"]) == 1) & (F.coalesce(lone["t"], F.lit("")) == "pii") & (lone["v"] == "")
+        return F.struct(F.size(x["t"]).alias("nt"), F.size(x["p"]).alias("np"), binary.alias("binary"), F.filter(first, lambda j: j > 0).alias("hit"))
+
+    def tallied(x: Column) -> Column:
+        tp = F.when(x["binary"], x["nt"]).otherwise(F.size(x["hit"]))
+        fp = F.when(x["binary"], F.when(x["nt"] > 0, 0).otherwise(1)).otherwise(x["np"] - F.size(F.array_distinct(x["hit"])))
+        fn = F.when(x["binary"], 0).otherwise(x["nt"] - F.size(x["hit"]))
+        return F.struct(x["nt"].alias("nt"), x["np"].alias("np"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), safe_divide(tp, tp + fp).alias("precision"), safe_divide(tp, tp + fn).alias("recall"))
+
+    def scored(x: Column) -> Column:
+        f1 = safe_divide(2 * x["precision"] * x["recall"], x["precision"] + x["recall"])
+        exact = (x["tp"] - x["fp"] - x["fn"]) == x["nt"]
+        score = F.struct(exact.alias("exact_match"), x["tp"].cast("int").alias("true_positive"), x["fp"].cast("int").alias("false_positive"), x["fn"].cast("int").alias("false_negative"), x["precision"].alias("precision"), x["recall"].alias("recall"), f1.alias("f1"))
+        return F.when((x["nt"] > 0) | (x["np"] > 0), score)
+
+    sides = F.struct(clean(true).alias("t"), clean(pred).alias("p"))
+    return let(let(let(sides, counted), tallied), scored)

@@ -85,7 +85,7 @@ def synthetic_values(spark, d):
 
 # --- validators --------------------------------------------------------------------------------------
 
-LUHN = "regexp_full_match({0}, '[0-9]+') AND list_sum(list_transform(range(1, length({0}) + 1), lambda i: CASE WHEN (length({0}) - i) % 2 = 0 THEN CAST({0}[i] AS INTEGER) WHEN CAST({0}[i] AS INTEGER) > 4 THEN 2 * CAST({0}[i] AS INTEGER) - 9 ELSE 2 * CAST({0}[i] AS INTEGER) END)) % 10 = 0"
+LUHN = "regexp_full_match({0}, '[0-9]+') AND list_sum(list_transform(range(1, length({0}) + 1), lambda i: CASE WHEN (length({0}) - i) % 2 = 0 THEN TRY_CAST({0}[i] AS INTEGER) WHEN TRY_CAST({0}[i] AS INTEGER) > 4 THEN 2 * TRY_CAST({0}[i] AS INTEGER) - 9 ELSE 2 * TRY_CAST({0}[i] AS INTEGER) END)) % 10 = 0"
 CARD_TEST = "CASE uid % 3 WHEN 0 THEN credit_card_number WHEN 1 THEN substr(credit_card_number, 1, 15) || CAST((CAST(substr(credit_card_number, 16, 1) AS INTEGER) + 1) % 10 AS VARCHAR) ELSE ssn END"
 
 
