@@ -1,0 +1,293 @@
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cloakbench.llm import decontam, exact_dedup, features, html_extract, lm_score, mixing, quality_fm, simhash, substring_dedup, token_output, toxicity_pu
+
+DOCS = "doc_id long, text string, source string, n_chars long, id string"
+LONG = "word " * 3000
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Nulls in every column, empty and long texts, ties, repeated rows, clashing extra columns."""
+    rng = random.Random(0)
+    rows = [(k, " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.choice([1, 2, 5, 40]))), f"s{k % 3}", 5, "x") for k in range(60)]
+    rows += [(100, None, "s0", None, None), (101, "", None, 0, "x"), (None, "no id here", "s1", 3, "x"), (102, LONG, "s1", None, "x"), (103, LONG.upper(), "s2", 1, "x")]
+    rows += [(104, "same row", "s0", 1, "x")] * 3 + [(105, "é É same", None, 1, "x"), (106, "é é SAME", "s0", 1, "x")]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def low(text):
+    return "".join(c.lower() if c.isascii() else c for c in text or "")
+
+
+@pytest.mark.parametrize("keep", ["max", "min"])
+def test_exact_dedup(spark, docs, keep):
+    got = exact_dedup.groups(docs, keep=keep).collect()
+    groups = defaultdict(list)
+    for r in docs.collect():
+        groups[hashlib.sha256(low(r.text).encode()).hexdigest()].append(r.doc_id)
+    assert len(got) == docs.count()
+    for r in got:
+        ids = [i for i in groups[r.text_sha256] if i is not None]
+        assert r.group_size == len(groups[r.text_sha256]) and r.keep_id == ((max if keep == "max" else min)(ids) if ids else None)
+    assert sum(r.kept for r in got) == len(groups)
+
+
+def test_exact_dedup_hot_text(spark):
+    rows = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("Hot")).otherwise(F.col("id").cast("string")).alias("text"))
+    got = exact_dedup.groups(rows, hot_share=0.01, salts=7).where("text_sha256 = sha2('hot', 256)").collect()
+    assert len(got) == 134 and {(r.keep_id, r.group_size) for r in got} == {(399, 134)} and sum(r.kept for r in got) == 1
+
+
+def test_mixing(spark, docs):
+    got = mixing.plan(docs).collect()
+    words = {}
+    for r in got:
+        words.setdefault(r.source, [0, 0, r.target, r.source_size])
+        words[r.source][0] += r.size
+        words[r.source][1] += r.taken
+        assert r.taken <= 2 * r.size
+    total = sum(w[0] for w in words.values())
+    assert sum(w[2] for w in words.values()) == pytest.approx(1.5 * total)
+    for size, taken, target, said in words.values():
+        assert said == size and target <= 2 * size
+    again = mixing.plan(docs).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+    assert mixing.mix(docs).columns == docs.columns
+    assert mixing.mix(docs).count() == sum(r.copies for r in got)
+
+
+def test_mixing_comes_near(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 4).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 97 + 1).cast("int")).alias("text"))
+    for r in mixing.plan(rows).groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("aim")).collect():
+        assert abs(r.t - r.aim) <= 50
+
+
+def fingerprint(text):
+    import xxhash
+
+    w = low(text).encode().split()
+    if not w:
+        return 0
+    shingles = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def reached(pairs, nodes):
+    up = {n: n for n in nodes}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def test_simhash(spark, docs):
+    rows = docs.collect()
+    fp = [fingerprint(r.text) for r in rows]
+    nodes = sorted(set(fp))
+    part = reached([(a, b) for i, a in enumerate(nodes) for b in nodes[i + 1 :] if (a ^ b).bit_count() <= 2], nodes)
+    least = defaultdict(lambda: None)
+    for r, f in zip(rows, fp):
+        if r.doc_id is not None:
+            least[part[f]] = r.doc_id if least[part[f]] is None else min(least[part[f]], r.doc_id)
+    want = sorted((str(r.doc_id), f"{f:016x}", str(least[part[f]])) for r, f in zip(rows, fp))
+    got = simhash.components(docs).collect()
+    assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in got) == want
+    kept = simhash.dedup(docs).collect()
+    assert len([r for r in kept if r.doc_id is not None]) == len({v for v in least.values() if v is not None})
+
+
+@pytest.mark.parametrize("longest", [1, 64])
+def test_simhash_crowded_lists(spark, longest):
+    rng, center = random.Random(1), random.Random(2).getrandbits(64)
+    near = {center}
+    for _ in range(150):
+        near.add(rng.choice(sorted(near)) ^ 1 << rng.randrange(64))
+    nodes = sorted(near | {rng.getrandbits(64) for _ in range(50)})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    got = simhash.links(spark.createDataFrame([(signed(n),) for n in nodes], "fp long"), longest).collect()
+    links = [(a % (1 << 64), b % (1 << 64)) for a, b in got]
+    assert all((a ^ b).bit_count() <= 2 for a, b in links)
+    every = [(a, b) for i, a in enumerate(nodes) for b in nodes[i + 1 :] if (a ^ b).bit_count() <= 2]
+    assert reached(links, nodes) == reached(every, nodes)
+
+
+ITEMS = [(1, "Alice has 12 apples and buys 5 more apples at the market, so Alice pays 12 dollars in total today."), (2, None), (3, "too short"), (4, "")]
+CASES = [
+    (1, "intro text here. Then Bob has 7 apples and buys 9 more apples at the market, so Bob pays 7 euros in total today. bye"),
+    (2, "Then Bob has 7 apples and buys 9 more apples at the market, so Carl pays 8 euros in total today."),
+    (3, None), (4, ""), (5, "nothing to see"), (None, ITEMS[0][1]), (6, ITEMS[0][1].lower()), (6, "other text"),
+]
+
+
+def test_decontamination(spark):
+    bench, docs = spark.createDataFrame(ITEMS, "item_id long, text string"), spark.createDataFrame(CASES, "doc_id long, text string")
+    got = {tuple(r) for r in decontam.matches(docs, bench).collect()}
+    assert {(r[1], r[2]) for r in got} == {(1, 1), (None, 1)}
+    assert got == {tuple(r) for r in decontam.matches(docs, bench, listed_windows=0).collect()}
+    assert {r[6] for r in got if r[1] == 1} == {4}
+    assert sorted(str(r.doc_id) for r in decontam.decontaminate(docs, bench).collect()) == ["2", "3", "4", "5", "6", "6"]
+
+
+def test_decontamination_brute_force(spark):
+    d = "/root/testdata/sf0.001"
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()}
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    holds = {(r.doc_id, i) for r in docs.collect() for i, t in items.items() if t in (r.text or "")}
+    found = {(r.id, r.item) for r in decontam.matches(docs, spark.read.parquet(f"{d}/benchmark.parquet")).collect()}
+    assert holds <= found and len(found - holds) <= 2
+
+
+def brute_repeats(rows, length):
+    seen, out = set(), {}
+    for d, t in sorted(rows):
+        w = (t or "").encode().split()
+        gone = [False] * len(w)
+        for i in range(len(w) - length + 1):
+            if tuple(w[i : i + length]) in seen:
+                gone[i : i + length] = [True] * length
+            seen.add(tuple(w[i : i + length]))
+        out[d] = (len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone) if not g)).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("length, seed", [(20, 8), (6, 3), (5, 5)])
+def test_substring_dedup(spark, length, seed):
+    rng = random.Random(length)
+    rows = [(i, " ".join(rng.choice("ab") for _ in range(rng.choice([0, 5, 19, 20, 21, 60])))) for i in range(80)] + [(500, None), (501, ""), (502, "a " * 90), (503, "a " * 90)]
+    want = brute_repeats(rows, length)
+    got = substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=length, seed_words=seed).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == want
+
+
+def test_substring_dedup_edges(spark, docs):
+    assert substring_dedup.repeats(docs).count() == docs.count()
+
+
+def test_simple8b_round_trip():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 1023, 1024, 1025, 3000):
+        for high in (1, 2, 300, 50_000, 1 << 33, 1 << 63):
+            ids = rng.integers(0, high, n).astype(np.uint64)
+            data = token_output.to_bytes([None, 7], [n, 0], ids)
+            named, lengths, back = token_output.from_bytes(data)
+            assert named == [None, 7] and lengths.tolist() == [n, 0] and (back == ids).all()
+            if n > 2048:
+                assert (token_output.block_of(data, 1) == ids[1024:2048]).all()
+
+
+def test_tokens(spark, docs):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(token_output.default_tokenizer())
+    odd = ["don't I'LL 'S", "Ünïcode ÀÉ ß 12345", "á Σίσυφος ΟΔΟΣ", "x y z w", "<|endoftext|> hi", "日本語 😀", "İ ǅ", " \t\n"]
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame([(200 + k, t) for k, t in enumerate(odd)], "doc_id long, text string"))
+    got = token_output.round_trip(rows, token_output.default_tokenizer(), shard_ids=50).orderBy("start").collect()
+    texts = defaultdict(list)
+    for r in rows.collect():
+        ids = whole.encode(r.text or "", add_special_tokens=False).ids + [2]
+        texts[r.doc_id].append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    start = 0
+    for r in got:
+        assert r.start == start and (r.n_tokens, r.ids_crc32) in texts[r.doc_id]
+        start += r.n_tokens
+    ids = [r.doc_id for r in got if r.doc_id is not None]
+    assert ids == sorted(ids) and len(got) == rows.count()
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><nav><ul><li><a href=x>Home</a></li></ul></nav>
+<div class="ad">Buy this now.</div><article><h1>Head&amp;line</h1><p>First  paragraph,
+with <b>bold</b>&nbsp;text.<br><p>Second one.</p></article><div class="comments"><p>nice!</p></div><footer>&copy; us</footer></body></html>"""
+
+
+def test_html(spark):
+    rows = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "<p"), (5, "u", "<nav>" * 50)], "page_id long, url string, html string")
+    got = {r.page_id: (r.text, r.n_chars) for r in html_extract.extract(rows).collect()}
+    text = "Head&line\nFirst paragraph, with bold text.\nSecond one."
+    assert got[1] == (text, len(text)) and got[2] == got[3] == ("", 0) and len(got) == 5
+    pages, labels = html_extract.drawn(200, 77)
+    net = html_extract._net[()]
+    right = [((html_extract._run(net, *html_extract._embed(net, [p]))[0][:, 0] > 0) == (y > 0)).mean() for p, y in zip(pages, labels)]
+    assert np.mean(right) > 0.97
+
+
+def test_factorisation_identity():
+    rng = np.random.default_rng(0)
+    size = quality_fm.BUCKETS + quality_fm.DENSE
+    m = quality_fm.Model(0.1, rng.normal(size=size), rng.normal(size=(size, 3)), np.zeros(quality_fm.DENSE), np.ones(quality_fm.DENSE))
+    index, value, stats = quality_fm.featurize("one two two three", None)
+    i = np.concatenate((index, quality_fm.BUCKETS + np.arange(quality_fm.DENSE)))
+    x = np.concatenate((value, m.dense(stats) / np.sqrt(quality_fm.DENSE)))
+    pairs = sum(m.v[i[a]] @ m.v[i[b]] * x[a] * x[b] for a in range(len(i)) for b in range(a))
+    assert quality_fm.score_row(m, index, value, stats) == pytest.approx(float(features.sigmoid(np.float64(m.w0 + m.w[i] @ x + pairs))))
+
+
+@pytest.mark.parametrize("module, query, label, least", [(quality_fm, "op6_quality_fm", "quality", 0.95), (toxicity_pu, "op9_toxicity_nnpu", "toxic", 0.7)])
+def test_classifiers_held_out(spark, module, query, label, least):
+    d = "/root/testdata/sf0.01"
+    got = getattr(module, query)(spark, d).collect()
+    known = {r.doc_id: r[label] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    held = [(r.score, known[r.doc_id]) for r in got if r.held_out and r.doc_id in known]
+    above = [(a > b) + 0.5 * (a == b) for a, y in held for b, z in held if y == 1 and z == 0]
+    assert len(got) == spark.read.parquet(f"{d}/documents.parquet").count() and np.mean(above) > least
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+
+
+def test_classifier_edges(spark, docs, empty):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.score for r in quality_fm.score(docs, quality_fm.train(docs, none)).collect()} == {0.5}
+    assert quality_fm.keep_good(docs, quality_fm.train(docs, none)).count() == docs.count()
+    model = toxicity_pu.train(docs, none, F.lit(True))
+    assert toxicity_pu.score(docs, model).count() == docs.count() and toxicity_pu.score(empty, model).count() == 0
+
+
+def test_lm(spark, docs, empty):
+    text = "the cat sat on the mat and the dog sat on the rug"
+    rows = spark.createDataFrame([(k, " ".join([text] * 30)) for k in range(4)], "doc_id long, text string")
+    model = lm_score.fit(rows, share=2)
+    other = spark.createDataFrame([(1, text), (2, "rug the on mat sat dog the the and the sat on cat"), (3, None), (4, "")], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_score.score(other, model).collect()}
+    assert got[1].log_prob > got[2].log_prob and got[1].n_tokens == 13 and (got[3].n_tokens, got[3].log_prob) == (0, 0.0)
+    # By hand: each token's class from the two words on each side, then the word in its class.
+    c, net = [lm_score.PAD] * 2 + model.classes[lm_score.buckets_of(text)].tolist() + [lm_score.PAD] * 2, model.net
+    total = 0.0
+    for k, bucket in enumerate(lm_score.buckets_of(text), 2):
+        x = np.concatenate([net.e[c[k + o]] for o in (-2, -1, 1, 2)])
+        z = np.tanh(x @ net.w1 + net.b1) @ net.w2 + net.b2
+        total += z[c[k]] - np.log(np.exp(z).sum()) + model.log_in_class[bucket]
+    assert got[1].log_prob == pytest.approx(total, rel=1e-4)
+    assert lm_score.score(docs, lm_score.fit(docs)).count() == docs.count()
+    assert lm_score.score(empty, lm_score.fit(empty)).count() == 0
+
+
+def test_empty_tables(spark, empty):
+    bench = spark.createDataFrame([], "item_id long, text string")
+    for frame in (exact_dedup.groups(empty), mixing.plan(empty), mixing.mix(empty), simhash.components(empty), simhash.dedup(empty), decontam.matches(empty, bench), substring_dedup.repeats(empty), token_output.round_trip(empty, token_output.default_tokenizer())):
+        assert frame.count() == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").orderBy("start").collect()
+    assert got and [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got[:-1]]]).tolist()
+    assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality classifier"
