@@ -36,8 +36,8 @@ COUNT = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 120])
 WIDTH = np.array([60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0])
 FULLEST_FIRST = [15, *range(1, 15)]
 HEAD = struct.Struct("<4sIQQQQQ")
-PIECES_KEPT = 400_000  # entries of a worker's cache, in a young and an old generation each
-AT_ONCE = 12 << 20  # bytes of text that a worker encodes together, or one document
+PIECES_KEPT = 200_000  # entries of a worker's cache, in a young and an old generation each
+AT_ONCE = 6 << 20  # bytes of text that a worker encodes together, or one document
 
 
 def pack(ids: np.ndarray, block: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -248,7 +248,7 @@ class Encoder:
 _encoders: dict[int, Encoder] = {}
 
 
-def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 1 << 20, block: int = 1024) -> None:
+def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 1 << 19, block: int = 1024) -> None:
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:  # on the driver; a tokenizer file is a few MB whatever the input
         spec = spark.sparkContext.broadcast(f.read())
@@ -285,6 +285,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_c
                 at = until
         if named:
             yield flush()
+        pa.default_memory_pool().release_unused()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
