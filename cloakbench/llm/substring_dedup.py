@@ -142,8 +142,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     twice = stash(each.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "repeated", release=True)
     own = each.join(twice, "seed", "left_semi").groupBy("key").agg(F.collect_set("seed").alias("seeds"))
     own = own.join(copies, "key", "left_anti")
-    found = stash(rows.join(own, "key").select("id", "key", "text", "seeds"), "seeded", release=True)
+    found = rows.join(own, "key").select("id", "key", "text", "seeds")
+    # An identifier names its document but where it is shared; only there the hash of the text goes along.
+    shared = stash(meta.groupBy(F.col("id").alias("other")).agg(F.count("*").alias("n")).where("n > 1").select("other", F.lit(True).alias("many")), "shared")
+    found = found.join(shared, F.col("id").eqNullSafe(F.col("other")), "left")
+    found = stash(found.select("id", F.when(F.col("many"), F.col("key")).otherwise(F.lit(0)).cast("long").alias("tie"), "key", "text", "seeds"), "seeded", release=True)
     drop_stash(scanned)
+    drop_stash(twice)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -157,17 +162,17 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                 for at in range(0, len(starts), 10_000):
                     s = starts[at : at + 10_000]
                     w = [pa.array(both[at : at + 10_000, c].view(np.int64), pa.int64()) for c in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([*w, pa.array([b.column(0)[k].as_py()] * len(s), b.schema.field(0).type), pa.array([b.column(1)[k].as_py()] * len(s), pa.int64()), pa.array(s, pa.int32())], ["w1", "w2", "id", "key", "start"])
+                    yield pa.RecordBatch.from_arrays([*w, pa.array([b.column(0)[k].as_py()] * len(s), b.schema.field(0).type), pa.array([b.column(1)[k].as_py()] * len(s), pa.int64()), pa.array(s, pa.int32())], ["w1", "w2", "id", "tie", "start"])
 
-    shape = T.StructType([T.StructField("w1", T.LongType()), T.StructField("w2", T.LongType()), T.StructField("id", id_type), T.StructField("key", T.LongType()), T.StructField("start", T.IntegerType())])
+    shape = T.StructType([T.StructField("w1", T.LongType()), T.StructField("w2", T.LongType()), T.StructField("id", id_type), T.StructField("tie", T.LongType()), T.StructField("start", T.IntegerType())])
     # Made twice rather than stored: windows of repeated seeds can outweigh the texts.
-    windows = found.mapInArrow(extend, shape)
-    place = F.struct("id", "key", "start")
+    windows = found.select("id", "tie", "text", "seeds").mapInArrow(extend, shape)
+    place, doc = F.struct("id", "tie", "start"), F.struct("id", "tie").alias("doc")
     earliest = stash(windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "earliest", release=True)
     later = windows.join(earliest, ["w1", "w2"]).where(~place.eqNullSafe(F.col("first")))
-    marks = later.groupBy("key").agg(F.collect_set("start").alias("starts"))
-    marks = stash(marks, "marks", release=True)
-    marked = found.select("key", "text").dropDuplicates(["key"]).join(marks, "key", "left")
+    marks = stash(later.groupBy(doc).agg(F.collect_set("start").alias("starts")), "marks", release=True)
+    drop_stash(earliest)
+    marked = found.select(doc, "key", "text").dropDuplicates(["doc"]).join(marks, "doc", "left").select("key", "text", "starts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
