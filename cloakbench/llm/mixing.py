@@ -46,10 +46,25 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: float
     return cap.select("source", "s", F.coalesce(F.least(fixed * F.col("w"), "cap"), "cap").alias("target"))
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **share) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, copies (whole copies), taken (words)."""
+def _key(source: str) -> Column:
+    """A text that is never null, so that joins by source stay equi-joins."""
+    return F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("null"))
+
+
+def _copies(x: Column) -> Column:
+    """Whole copies of a document by its draw x and the columns of its source's row."""
+    drawn = (F.col("p") > 0) & ((x <= F.col("cut")) | F.coalesce(x == F.col("fill"), F.lit(False)))
+    return F.col("k") + drawn.cast("long")
+
+
+def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **share) -> tuple[DataFrame, DataFrame]:
+    """(id, source, size, x, key) of every document, and for every source its target and the cut that its documents obey.
+
+    A document's copies follow from its own draw and its source's row. The second table has one row a source and is stored,
+    so Spark knows its size and broadcasts it where it is small.
+    """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = stash(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), _draw(id_col).alias("x")), "sizes")
+    rows = stash(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), _draw(id_col).alias("x"), _key(source_col).alias("key")), "sizes")
     rows = rows.withColumn("bucket", F.shiftright("x", 36).cast("int"))
 
     # The map-side sums are at most BUCKETS rows a source; they move once, and everything per source comes from them.
@@ -57,9 +72,9 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     aims = targets(sums.groupBy("source").agg(F.sum("words").alias("s")), **share)
     ratio = F.when(F.col("s") > 0, F.col("target") / F.col("s")).otherwise(F.lit(0.0))
     aims = aims.withColumn("k", F.floor(ratio).cast("long")).withColumn("p", ratio - F.col("k")).withColumn("due", F.col("target") - F.col("k") * F.col("s"))
-    aims = stash(aims.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))), "aims")
+    aims = stash(aims.withColumn("key", _key("source")), "aims")
 
-    keyed = sums.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")))
+    keyed = sums.withColumn("key", _key("source"))
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     at = keyed.withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0))).join(aims.select("key", "k", "p", "due"), "key")
     edge = at.where("due > base AND due <= base + words").select("key", "bucket", "base", "p", "due")
@@ -67,8 +82,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     # Pareto rank; u lies in the middle of its 2**-48 cell, so it is never 0 or 1.
     u = (F.col("x") + F.lit(0.5)) / F.lit(2.0**48)
     rank = (u / (F.lit(1.0) - u)) / (F.col("p") / (F.lit(1.0) - F.col("p")))
-    docs_ = rows.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")))
-    close = docs_.join(edge, ["key", "bucket"]).withColumn("rank", rank)
+    close = rows.join(edge, ["key", "bucket"]).withColumn("rank", rank)
     upto = Window.partitionBy("key").orderBy("rank").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     cum = close.withColumn("cum", F.col("base") + F.sum("size").over(upto))
     # The last x of the nearest cut; before the bucket's first row is a cut as well.
@@ -78,29 +92,31 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     aims = stash(aims.join(cuts, "key", "left").withColumn("cut", F.coalesce("cut", F.lit(-1))).withColumn("gap", F.col("due") - F.coalesce("got", F.lit(0))), "cuts")
 
     # One document that was not drawn may fill the gap.
-    spare = docs_.join(aims.where("gap > 0").select("key", "cut", "gap"), "key").where("x > cut AND size > 0 AND size < 2 * gap")
+    spare = rows.join(aims.where("gap > 0").select("key", "cut", "gap"), "key").where("x > cut AND size > 0 AND size < 2 * gap")
     fill = spare.groupBy("key", "gap", "x").agg(F.sum("size").alias("size")).groupBy("key").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")), "x"))["x"].alias("fill"), F.first("gap").alias("g"), F.min(F.abs(F.col("size") - F.col("gap"))).alias("off"))
     aims = aims.join(fill.where("off < g").select("key", "fill"), "key", "left")
+    return rows, stash(aims.select("key", F.col("s").alias("source_size"), "target", "k", "p", "cut", "fill"), "decided")
 
-    drawn = (F.col("p") > 0) & ((F.col("x") <= F.col("cut")) | F.coalesce(F.col("x") == F.col("fill"), F.lit(False)))
-    copies = F.col("k") + drawn.cast("long")
-    out = docs_.join(aims.select("key", F.col("s").alias("source_size"), "target", "k", "p", "cut", "fill"), "key")
-    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+def plan(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """One row per document: id, source, size, source_size, target, copies (whole copies), taken (words)."""
+    rows, aims = decide(docs, id_col, **how)
+    copies = _copies(F.col("x"))
+    return rows.join(aims, "key").select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The mixed documents, all columns of docs: a document with two copies comes twice, one with none not at all.
 
-    Rows that share an identifier and source share their draw, so copies are joined by both.
+    The draw comes from the row's own identifier and the cut from its source's row, so texts are joined by source alone and
+    not moved while that table is small enough to broadcast.
     """
     source = how.get("source_col", "source")
-    got = plan(docs, id_col, **how).groupBy(id_col, "source").agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    # An equality on one text key keeps the join an equi-join whatever the types, and null-safe.
-    named = lambda i, s: F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("\\N")), F.coalesce(F.concat(F.lit("s"), s), F.lit("null")))
-    got = stash(got.select(named(F.col(id_col), F.col("source")).alias("__key"), "__copies"), "copies")
-    both = docs.join(got, named(F.col(id_col), F.col(source)) == F.col("__key"))
+    aims = decide(docs, id_col, **how)[1]
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _draw(id_col).alias("x"), _key(source).alias("key"))
+    both = rows.join(aims, "key").withColumn("copies", _copies(F.col("x"))).where("copies > 0")
     # No document is taken more than twice under the default cap; sequence() holds for any.
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    return both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op2_source_mixing(spark, sf_dir: str) -> DataFrame:
