@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +61,28 @@ def drop_stash(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2_000, size: str = "8m") -> Iterator[None]:
+    """Arrow batches of texts this small for the jobs run inside: both sides of the pipe hold several at once."""
+    want = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    had = {k: spark.conf.get(k, None) for k in want}
+    for k, v in want.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in had.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def give_back() -> None:
+    """At the end of a Python task: return free memory to the system, for idle workers stay alive beside the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
 def ascii_lower(text):
     """Lower-case A-Z only.
 

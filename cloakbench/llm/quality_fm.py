@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, give_back
 from .features import STATS, Adam, batch_rows, crc, hashed_words, row_sums, sampled, sigmoid, structure, words_of
 
 BUCKETS, FACTORS = 1 << 14, 8
@@ -131,6 +131,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             s = [score_row(m, *featurize(t.as_py(), n)) for t, n in zip(b.column(b.num_columns - 2), b.column(b.num_columns - 1).to_pylist())]
             columns = b.columns[:-2] if keep else [b.column(0)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(s, pa.float64())], [f"c{k}" for k in range(len(columns))] + ["score"])
+        give_back()
 
     key, text, length = _inputs(docs, id_col, text_col, length_col)
     rows = docs.select(*([F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)] if keep else [key]), text, length)

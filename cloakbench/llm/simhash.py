@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, documents, stash
+from .common import connected_components, documents, give_back, small_batches, stash
 
 BITS = 2  # linked at so many differing bits or fewer
 LEAST_BYTES = 8 - BITS
@@ -60,6 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             fp = [fingerprint(t.as_py(), shingle, seed) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["id", "fp"])
+        give_back()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, T.StructType([T.StructField("id", rows.schema[0].dataType), T.StructField("fp", T.LongType())]))
@@ -95,7 +96,8 @@ def links(distinct: DataFrame, longest: int = 64) -> DataFrame:
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, longest: int = 64) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits), component_id (smallest id reachable)."""
-    fps = stash(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
+    with small_batches(docs.sparkSession):
+        fps = stash(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     reps = stash(fps.groupBy("fp").agg(F.min("id").alias("rep")), "reps")
     whole = connected_components(links(reps, longest), "a", "b")
     member = whole.join(reps, F.col("node") == F.col("fp")).select("fp", "component", "rep")
