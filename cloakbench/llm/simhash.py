@@ -109,12 +109,12 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return fps.join(owner, "fp").select(F.col("id").alias(id_col), hexed, "component_id")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents with the smallest id of each component, all columns; of rows that repeat that id one stays.
+def keep_least(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents whose id is the component_id that groups gives it, all columns; of rows that repeat that id one stays.
 
     Documents without id cannot be told apart by it and all stay.
     """
-    kept = components(docs, id_col, text_col, **how).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct()
+    kept = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct()
     stay = docs.join(kept, F.col(id_col) == F.col("__keep"), "left_semi")
     # The join has dealt the rows by id, so this only sorts within partitions.
     once = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
@@ -122,5 +122,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how
     return first.unionByName(docs.where(F.col(id_col).isNull()))
 
 
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The documents with the smallest id of each component, as keep_least keeps them."""
+    return keep_least(docs, components(docs, id_col, text_col, **how), id_col, text_col)
+
+
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return components(documents(spark, sf_dir))

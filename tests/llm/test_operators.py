@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cloakbench.llm import decontam, exact_dedup, features, html_extract, lm_score, mixing, quality_fm, simhash, substring_dedup, token_output, toxicity_pu
+from cloakbench.llm import decontam, exact_dedup, features, html_extract, lm_score, mixing, quality_fm, simhash, similar, substring_dedup, token_output, toxicity_pu
 
 DOCS = "doc_id long, text string, source string, n_chars long, id string"
 LONG = "word " * 3000
@@ -131,6 +131,44 @@ def test_simhash_crowded_lists(spark, longest):
     assert reached(links, nodes) == reached(every, nodes)
 
 
+def jaccard_sets(text, n=5):
+    w = low(text).encode().split()
+    return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
+
+
+@pytest.mark.parametrize("longest", [1, 64])
+def test_similar(spark, docs, longest):
+    rng = random.Random(3)
+    base = [[rng.choice("abcdefghijklmnop") * rng.randint(1, 4) for _ in range(rng.choice([30, 60, 120]))] for _ in range(12)]
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    for k in range(120):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = "changed" + str(rng.randrange(9))
+        rows.append((1000 + k, " ".join(w)))
+    sets = [jaccard_sets(t) for _, t in rows]
+    nodes = sorted(set(sets), key=lambda s: sorted(s))
+    close = [(i, j) for i, a in enumerate(nodes) for j, b in enumerate(nodes[:i]) if 5 * len(a & b) >= 4 * len(a | b)]
+    part, place = reached(close, range(len(nodes))), {s: i for i, s in enumerate(nodes)}
+    least = {}
+    for (d, _), s in zip(rows, sets):
+        c = part[place[s]]
+        least[c] = min((x for x in (d, least.get(c)) if x is not None), default=None)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = similar.components(frame, longest=longest).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == sorted((str(d), str(least[part[place[s]]])) for (d, _), s in zip(rows, sets))
+
+
+def test_pipeline_links_edited_copies(spark):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(120)]
+    edited = [*words[:40], "other", *words[41:80], "again", *words[81:]]
+    frame = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(reversed(words)))], "doc_id long, text string")
+    assert (fingerprint(" ".join(words)) ^ fingerprint(" ".join(edited))).bit_count() > 2
+    assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, frame, "").collect()) == [1, 3]
+
+
 ITEMS = [(1, "Alice has 12 apples and buys 5 more apples at the market, so Alice pays 12 dollars in total today."), (2, None), (3, "too short"), (4, "")]
 CASES = [
     (1, "intro text here. Then Bob has 7 apples and buys 9 more apples at the market, so Bob pays 7 euros in total today. bye"),
