@@ -1,7 +1,7 @@
 """HTML main-text extraction: a recurrent labeller of leaf blocks.
 
-A tolerant tokenizer cuts a page into leaf blocks (text between block-level tags; comments, scripts, styles and the head
-are no blocks) with their tag paths. Each block becomes the sum of learned vectors of its path parts (tags, class and id words, near and
+A tolerant tokenizer cuts a page into leaf blocks (text between block-level tags; comments, scripts, styles, templates and the head
+are no blocks, unless they are never closed; tags inside math and svg break no block) with their tag paths. Each block becomes the sum of learned vectors of its path parts (tags, class and id words, near and
 far), the mean of learned vectors of its hashed words, and a few lengths and shares. A bidirectional LSTM in numpy reads
 the whole sequence of a page and labels every block main or not, so each decision sees the whole document. It is trained here,
 on pages drawn by a seeded generator (layouts, class names, nested boilerplate, unclosed tags) whose labels are known.
@@ -32,9 +32,10 @@ WIDE = PATH_DIM + WORD_DIM + PLAIN
 NEAR = 2  # innermost path elements that count as near
 
 #: Fixed values of HTML: elements whose content is no text, that have no content, and that do not break a block.
-RAW = {"script", "style", "noscript", "template", "head", "svg", "iframe", "object", "math"}
+RAW = {"script", "style", "template", "head"}
+FOREIGN = {"math", "svg"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "math", "object", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "svg", "time", "tt", "u", "var", "wbr"}
 #: An opening tag of the key ends an open element of these kinds, as HTML's optional end tags have it.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "pre", "section", "table", "ul"}
@@ -56,7 +57,15 @@ def blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     got: list[str] = []
-    linked, links, at = 0, 0, 0
+    linked, links, at, foreign_to, spaced = 0, 0, 0, 0, False
+    unclosed: set[str] = set()  # tags without an end tag in the rest of the page, so that each is looked for once
+    sought = {t: re.compile(rf"</{t}\s*>" if t != "head" else r"</head\s*>|<body\b", re.I) for t in RAW | FOREIGN}
+
+    def end_of(tag: str):
+        end = None if tag in unclosed else sought[tag].search(page, at)
+        if end is None:
+            unclosed.add(tag)
+        return end
 
     def flush() -> None:
         nonlocal linked
@@ -80,8 +89,14 @@ def blocks(page: str | None) -> list[Block]:
         tag, closing = m[2].lower(), bool(m[1])
         if tag in RAW and not closing:
             flush() if tag == "head" else None
-            end = re.compile(rf"</{tag}\s*>" if tag != "head" else r"</head\s*>|<body\b", re.I).search(page, at)
-            at = len(page) if end is None and tag != "head" else at if end is None else end.start() if end[0].lower().startswith("<body") else end.end()
+            end = end_of(tag)
+            if end is not None:
+                at = end.start() if end[0].lower().startswith("<body") else end.end()
+            continue
+        if tag in FOREIGN and not closing and not m[3].endswith("/") and (end := end_of(tag)) is not None:
+            foreign_to, spaced = max(foreign_to, end.end()), tag == "svg"
+        if m.start() < foreign_to and tag not in INLINE:
+            got.append(" " if spaced else "")
             continue
         if tag in INLINE:
             if tag in ("br", "wbr", "img"):

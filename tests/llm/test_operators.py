@@ -268,6 +268,16 @@ def test_html(spark):
     assert np.mean(right) > 0.97
 
 
+def test_html_blocks_keep_text():
+    texts = lambda page: [b.text for b in html_extract.blocks(page)]
+    assert texts("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold.</p><p>Next.</p>") == ["Let x=2 hold.", "Next."]
+    assert texts("<p>A <object data=x>fallback</object> b.</p><noscript><p>No script.</p></noscript>") == ["A fallback b.", "No script."]
+    assert texts("<p>One <svg width=1 /> two.</p><p>Three.</p><svg><text>in</text><text>svg</text></svg>") == ["One two.", "Three.", "in svg"]
+    for tag in ("svg", "math", "object", "noscript", "iframe", "template", "style"):
+        assert " ".join(texts(f"<p>One.</p><{tag}><p>Two.</p><p>Three.</p>")) == "One. Two. Three."
+    assert texts("<p>One.</p><script>x</script><style>y</style><template>z</template><p>Two.</p>") == ["One.", "Two."]
+
+
 def test_factorisation_identity():
     rng = np.random.default_rng(0)
     size = quality_fm.BUCKETS + quality_fm.DENSE
