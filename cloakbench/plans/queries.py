@@ -642,7 +642,9 @@ def guard_backend(spark, d):
 
 @query("adaptive_loop")
 def adaptive_loop(spark, d):
-    attacks = values(spark, d).where("kind = 'ssn'").select(F.col("uid").alias("attack_id"), F.col("v").alias("pii"), F.col("kind").alias("pii_type"), F.lit("none").alias("attacker_awareness"))
+    """Every value, of whichever type, at both awareness levels."""
+    aware = F.explode(F.array(F.lit("none"), F.lit("attacks"))).alias("attacker_awareness")
+    attacks = values(spark, d).select(F.col("uid").alias("attack_id"), F.col("v").alias("pii"), F.col("kind").alias("pii_type"), aware)
     return adaptive.attack_traces(attacks)
 
 

@@ -97,6 +97,13 @@ def test_memory():
     assert m.summary() == "1. [DETECTED] 1\n2. [EVADED] 2"
 
 
+def test_adaptive_loop_covers_all(spark):
+    got = P.QUERIES["adaptive_loop"](spark, D).select("attack_id", "pii_type", "attacker_awareness").distinct()
+    values = P.values(spark, D).select("uid", "kind")
+    want = {(r.uid, r.kind, a) for r in values.collect() for a in ("none", "attacks")}
+    assert {tuple(r) for r in got.collect()} == want and len({k for _, k, _ in want}) > 1
+
+
 def test_evaluate_without_truth(spark):
     p = P.predictions(spark, D).limit(1).withColumn("uid", F.lit(-5).cast("long")).withColumn("prediction", F.array().cast(P.predictions(spark, D).schema["prediction"].dataType))
     x = evaluation.evaluate(p, P.dataset(spark, D)).first().spans_score
