@@ -5,8 +5,7 @@ their own, the others share classes of about equal mass. P(word | both sides) =
 by a network (vectors of the two words on each side, one tanh layer, softmax), the second from the counts. A document's score
 is the sum of log P over all its tokens.
 
-Training examples are a fixed share of all positions of all documents, so what is gathered grows with the corpus. Each round
-every task trains a copy in numpy on its own examples, and the copies are averaged, weighted by examples, as Spark sums of
+Training examples are all positions of all documents. Each round every task trains a copy in numpy on its own examples, and the copies are averaged, weighted by examples, as Spark sums of
 (parameter, value) rows: the driver receives one model a round whatever the input.
 
 Defined cases: null text or text without words has 0 tokens, log_prob 0 and mean 0; windows are padded at a document's edges;
@@ -103,7 +102,7 @@ def log_probs(net: Net, line: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def train_net(net: Net, context: np.ndarray, target: np.ndarray, rate: float, batch: int = 512, least_steps: int = 200, seed: int = 0) -> Net:
     """Some passes of Adam over the examples from a given net."""
-    rng, p = np.random.default_rng(seed), [x.astype(np.float64) for x in net]
+    rng, p = np.random.default_rng(seed), [x.astype(np.float32) for x in net]
     opt, per_pass = Adam([x.shape for x in p], rate), max(1, -(-len(target) // batch))
     for _ in range(max(1, -(-least_steps // per_pass))):
         for rows in np.array_split(rng.permutation(len(target)), per_pass):
@@ -112,18 +111,19 @@ def train_net(net: Net, context: np.ndarray, target: np.ndarray, rate: float, ba
             x = e[c].reshape(n, -1)
             h = np.tanh(x @ w1 + b1)
             z = h @ w2 + b2
-            z = np.exp(z - z.max(1, keepdims=True))
+            np.exp(np.subtract(z, z.max(1, keepdims=True), out=z), out=z)
             z /= z.sum(1, keepdims=True)
             z[np.arange(n), target[rows]] -= 1
             z /= n
             dh = (z @ w2.T) * (1 - h * h)
             dx = (dh @ w1.T).reshape(-1, DIM)
-            de = np.stack([np.bincount(c.ravel(), dx[:, k], CLASSES + 1) for k in range(DIM)], 1)
+            places = (c.ravel().astype(np.int64)[:, None] * DIM + np.arange(DIM)).ravel()
+            de = np.bincount(places, dx.ravel(), (CLASSES + 1) * DIM).reshape(-1, DIM).astype(np.float32)
             opt.step(p, [de, x.T @ dh, dh.sum(0), h.T @ z, z.sum(0)])
     return Net(*[x.astype(np.float32) for x in p])
 
 
-def fit(docs: DataFrame, text_col: str = "text", share: int = 16, rounds: int = 3) -> Model:
+def fit(docs: DataFrame, text_col: str = "text", share: int = 1, rounds: int = 3) -> Model:
     """share: one position in so many is a training example."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).alias("text"))

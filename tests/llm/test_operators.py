@@ -327,6 +327,12 @@ def test_lm(spark, docs, empty):
     assert lm_score.score(empty, lm_score.fit(empty)).count() == 0
 
 
+def test_lm_trains_on_all_positions(spark):
+    rows = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    start = lm_score.start_net()
+    assert (lm_score.fit(rows, share=1 << 20).net.e == start.e).all() and (lm_score.fit(rows).net.e != start.e).any()
+
+
 def test_empty_tables(spark, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     for frame in (exact_dedup.groups(empty), mixing.plan(empty), mixing.mix(empty), simhash.components(empty), simhash.dedup(empty), decontam.matches(empty, bench), substring_dedup.repeats(empty), token_output.round_trip(empty, token_output.default_tokenizer())):
