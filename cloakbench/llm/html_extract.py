@@ -129,7 +129,7 @@ def blocks(page: str | None) -> list[Block]:
 def vectors(page: list[Block]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """(path rows, word rows, plain numbers) of each block."""
     path = [np.array([zlib.crc32(p.encode()) % PATHS for p in b.path] or [0], np.int64) for b in page]
-    words = [np.array([zlib.crc32(w.encode()) % WORDS for w in b.text.lower().split()[:64]], np.int64) for b in page]
+    words = [np.array([zlib.crc32(w.encode()) % WORDS for w in b.text.lower().split()], np.int64) for b in page]
     plain, n = np.zeros((len(page), PLAIN)), max(1, len(page))
     for k, b in enumerate(page):
         size = len(b.text)

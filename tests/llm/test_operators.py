@@ -278,6 +278,11 @@ def test_html_blocks_keep_text():
     assert texts("<p>One.</p><script>x</script><style>y</style><template>z</template><p>Two.</p>") == ["One.", "Two."]
 
 
+def test_html_vectors_hash_every_word():
+    text = " ".join(f"w{k}" for k in range(200))
+    assert [len(w) for w in html_extract.vectors(html_extract.blocks(f"<p>{text}</p>"))[1]] == [200]
+
+
 def test_factorisation_identity():
     rng = np.random.default_rng(0)
     size = quality_fm.BUCKETS + quality_fm.DENSE
