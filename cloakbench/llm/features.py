@@ -86,9 +86,9 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Adam:
-    def __init__(self, shapes: list[tuple[int, ...]], rate: float):
+    def __init__(self, shapes: list[tuple[int, ...]], rate: float, kind: type = np.float64):
         self.rate, self.t = rate, 0
-        self.m, self.v = [np.zeros(s) for s in shapes], [np.zeros(s) for s in shapes]
+        self.m, self.v = [np.zeros(s, kind) for s in shapes], [np.zeros(s, kind) for s in shapes]
 
     def step(self, params: list[np.ndarray], grads: list[np.ndarray]) -> None:
         self.t += 1

@@ -75,6 +75,43 @@ def test_mixing_comes_near(spark):
         assert abs(r.t - r.aim) <= 50
 
 
+def test_mixing_draws_by_inclusion_odds(spark):
+    """The sample follows the Pareto rank over each document's own inclusion odds: other odds, another sample."""
+    rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.repeat(F.lit("w "), (F.col("id") % 100 + 1).cast("int")).alias("text"))
+    taken = {}
+    for by_size in (True, False):
+        got = mixing.plan(rows, budget=0.3, by_size=by_size).collect()
+        taken[by_size] = {r.doc_id for r in got if r.taken}
+        assert abs(sum(r.taken for r in got) - got[0].target) <= 1
+        # By hand: fractions of the source that inclusion odds of min(1, c w) give, w the power of two below the size.
+        w = {r.doc_id: 2 ** (r.size.bit_length() - 1) if by_size else 1 for r in got}
+        low, high = 0.0, 1.0
+        for _ in range(60):
+            c = (low + high) / 2
+            low, high = (c, high) if sum(min(1, c * w[r.doc_id]) * r.size for r in got) < got[0].target else (low, c)
+
+        def rank(r):
+            u = (int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+            p = c * w[r.doc_id]
+            return 0 if p >= 1 else u / (1 - u) / (p / (1 - p))
+
+        first, words = set(), 0
+        for r in sorted(got, key=rank):
+            words += r.size
+            if words > got[0].target:
+                break
+            first.add(r.doc_id)
+        assert len(first ^ taken[by_size]) <= 2
+    assert len(taken[True] ^ taken[False]) > 200 and len(taken[True]) < len(taken[False])
+
+
+def test_mixing_certain_documents(spark):
+    """A document whose odds reach 1 is always in."""
+    rows = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.repeat(F.lit("w "), F.when(F.col("id") < 2, 400).otherwise(4)).alias("text"))
+    got = {r.doc_id: r.taken for r in mixing.plan(rows, budget=0.75).collect()}
+    assert got[0] == got[1] == 400 and 0 < sum(v for k, v in got.items() if k > 1) < 792
+
+
 def fingerprint(text):
     import xxhash
 
@@ -315,27 +352,70 @@ def test_classifier_edges(spark, docs, empty):
 
 def test_lm(spark, docs, empty):
     text = "the cat sat on the mat and the dog sat on the rug"
-    rows = spark.createDataFrame([(k, " ".join([text] * 30)) for k in range(4)], "doc_id long, text string")
-    model = lm_score.fit(rows, share=2)
+    rows = spark.createDataFrame([(k, " ".join([text] * 30)) for k in range(8)], "doc_id long, text string")
+    model = lm_score.fit(rows, passes=60)
     other = spark.createDataFrame([(1, text), (2, "rug the on mat sat dog the the and the sat on cat"), (3, None), (4, "")], "doc_id long, text string")
     got = {r.doc_id: r for r in lm_score.score(other, model).collect()}
     assert got[1].log_prob > got[2].log_prob and got[1].n_tokens == 13 and (got[3].n_tokens, got[3].log_prob) == (0, 0.0)
-    # By hand: each token's class from the two words on each side, then the word in its class.
-    c, net = [lm_score.PAD] * 2 + model.classes[lm_score.buckets_of(text)].tolist() + [lm_score.PAD] * 2, model.net
+    # By hand: each token's class and place in it from the two words on each side, then the word in its output.
+    c, net = [lm_score.PAD] * 2 + model.outputs[lm_score.buckets_of(text)].astype(int).tolist() + [lm_score.PAD] * 2, model.net
     total = 0.0
     for k, bucket in enumerate(lm_score.buckets_of(text), 2):
-        x = np.concatenate([net.e[c[k + o]] for o in (-2, -1, 1, 2)])
-        z = np.tanh(x @ net.w1 + net.b1) @ net.w2 + net.b2
-        total += z[c[k]] - np.log(np.exp(z).sum()) + model.log_in_class[bucket]
-    assert got[1].log_prob == pytest.approx(total, rel=1e-4)
+        h = np.tanh(np.concatenate([net.e[c[k + o]] for o in (-2, -1, 1, 2)]) @ net.w1 + net.b1)
+        cls, mem = divmod(c[k], lm_score.MEMBERS)
+        for z, own in ((h @ net.wc + net.bc, cls), (h @ net.wm[cls] + net.bm[cls], mem)):
+            total += z[own] - np.log(np.exp(z).sum())
+        total += model.log_in_output[bucket]
+    assert got[1].log_prob == pytest.approx(total, rel=1e-4, abs=1e-4)
     assert lm_score.score(docs, lm_score.fit(docs)).count() == docs.count()
     assert lm_score.score(empty, lm_score.fit(empty)).count() == 0
 
 
+def test_lm_probabilities_sum_to_one(spark):
+    rng = np.random.default_rng(0)
+    _, _, mass = lm_score.assign(rng.integers(0, 9, lm_score.BUCKETS).astype(float))
+    net = lm_score.start_net(mass)
+    line = np.concatenate([np.array([5, 9, k, 70, 4000], np.uint16) for k in range(lm_score.OUTPUTS)])
+    assert np.exp(lm_score.log_probs(net, line, np.arange(2, len(line), 5)).astype(float)).sum() == pytest.approx(1, rel=1e-3)
+
+
+def test_lm_gradients(spark):
+    """A step's direction against differences of the loss."""
+    rng = np.random.default_rng(1)
+    _, _, mass = lm_score.assign(rng.integers(0, 9, lm_score.BUCKETS).astype(float))
+    net = lm_score.start_net(mass)
+    context, target = rng.integers(0, lm_score.OUTPUTS, (40, 4)), rng.integers(0, 300, 40)
+    line = np.concatenate([[c[0], c[1], t, c[2], c[3]] for c, t in zip(context, target)]).astype(np.uint16)
+    loss = lambda n: -lm_score.log_probs(n, line, np.arange(2, len(line), 5)).astype(float).mean()
+    trainer, got = lm_score.Trainer(net, 0.01), []
+    trainer.opt.step = lambda p, g: got.extend(g)
+    trainer.step(context, target)
+    for name, g in zip(lm_score.Net._fields, got):
+        at = np.unravel_index(np.argmax(np.abs(g)), g.shape)
+        sides = []
+        for by in (0.02, -0.02):
+            moved = getattr(net, name).copy()
+            moved[at] += by
+            sides.append(loss(net._replace(**{name: moved})))
+        assert (sides[0] - sides[1]) / 0.04 == pytest.approx(float(g[at]), rel=0.05), name
+
+
+def test_lm_does_not_depend_on_partitions(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    nets = [lm_score.fit(rows.repartition(n)).net for n in (2, 7)]
+    start = lm_score.start_net(lm_score.assign(lm_score._counted(rows.select("text")))[2])
+    for a, b, s in zip(*nets, start):
+        assert np.allclose(a, b, atol=1e-5) and (a != s).any()
+
+
 def test_lm_trains_on_all_positions(spark):
-    rows = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
-    start = lm_score.start_net()
-    assert (lm_score.fit(rows, share=1 << 20).net.e == start.e).all() and (lm_score.fit(rows).net.e != start.e).any()
+    long = " ".join(f"w{k}" for k in range(lm_score.SLICE + 3))
+    rows = spark.createDataFrame([(1, "one two three"), (2, long), (3, None)], "h long, text string")
+    made = lm_score._slices(rows, np.arange(lm_score.BUCKETS, dtype=np.uint16)).collect()
+    seen = {1: [], 2: []}
+    for r in sorted(made, key=lambda r: (r.h, r.part)):
+        seen[r.h].extend(np.frombuffer(r.line, "<u2")[2:-2].tolist())
+    assert seen[1] == lm_score.buckets_of("one two three").astype(np.uint16).tolist() and seen[2] == lm_score.buckets_of(long).astype(np.uint16).tolist()
 
 
 def test_empty_tables(spark, empty):
