@@ -3,15 +3,17 @@
 Targets: sources in code-point order (null last) carry the weights in turn and share `budget` times all words; a target
 stops at `most` times its source's words and the excess is shared again by weight (water filling, in closed form).
 Sampling: a source with target/size = k + p gives k certain whole copies of each document. The rest, p of its words, is a
-sample without replacement in Pareto order: rank = (u / (1 - u)) / (p / (1 - p)), with u from a hash of the identifier,
-so inclusion odds differ by source and reruns agree; documents are taken from the lowest rank up to the cut whose words come
-nearest to what is due. One further unsampled document is taken where its size brings the sum nearer still.
+fixed-size sample without replacement with unequal odds: a document is included with probability pi = min(1, c w), w the power of two
+at or below its size, and c such that the expected words are those due; where pi reaches 1 the further copy is certain as well. Pareto order:
+ratio = (u / (1 - u)) / (pi / (1 - pi)), with u from a hash of the identifier, so reruns agree; documents are taken from the lowest
+ratio up to the cut whose words come nearest to what is due. One further unsampled document is taken where its size brings the sum
+nearer still. Ranks are kept as ratio / (1 + ratio), which has the same order and lies below 1.
 
-A source may hold most rows: words are summed per (source, rank bucket) map-side, and only the one bucket that straddles
-the cut is sorted. Source-level tables have one row a source; they are never collected.
+A source may hold most rows: words are summed per (source, size class) and (source, rank bucket) map-side, and only the one bucket that
+straddles the cut is sorted. Source-level tables have one row a source; they are never collected.
 
 Defined cases: null or empty text has size 0 and is taken 0 words; a null source is a source, ordered last; rows that share a
-doc_id share u and go in or out together within their source, as do null ids; target of a source without words is 0;
+doc_id share u, and go in or out together within their source and size class, as do null ids; target of a source without words is 0;
 extra columns are ignored by `plan` and kept by `mix`; an empty table gives an empty result.
 """
 
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, documents, stash
 
-BUCKETS = 4096  # of u; a source's straddling bucket has about 1/4096 of its rows
+BUCKETS = 4096  # of ranks; only one of them is sorted for each source
 
 
 def _draw(id_col: str) -> Column:
@@ -51,70 +53,97 @@ def _key(source: str) -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("null"))
 
 
-def _copies(x: Column) -> Column:
-    """Whole copies of a document by its draw x and the columns of its source's row."""
-    drawn = (F.col("p") > 0) & ((x <= F.col("cut")) | F.coalesce(x == F.col("fill"), F.lit(False)))
+def _class(size: Column) -> Column:
+    """Size class: the exponent of the power of two at or below the size (0 for 0)."""
+    return F.length(F.bin(size)) - 1
+
+
+def _weight(size: Column, by_size: bool) -> Column:
+    return F.pow(F.lit(2.0), _class(size)) if by_size else F.lit(1.0)
+
+
+def _rank(x: Column, w: Column, c: Column) -> Column:
+    """Pareto rank, 0 for a certain document, null where nothing is due; u lies in the middle of its 2**-48 cell, so it is never 0 or 1."""
+    u = (x + F.lit(0.5)) / F.lit(2.0**48)
+    odds = (c * w) / (F.lit(1.0) - c * w)
+    ratio = (u / (F.lit(1.0) - u)) / odds
+    return F.when(c * w >= 1, F.lit(0.0)).when(c > 0, ratio / (F.lit(1.0) + ratio))
+
+
+def _copies(x: Column, rank: Column) -> Column:
+    """Whole copies of a document by its draw, its rank and the columns of its source's row."""
+    drawn = F.coalesce(rank <= F.col("cut"), F.lit(False)) | F.coalesce(x == F.col("fill"), F.lit(False))
     return F.col("k") + drawn.cast("long")
 
 
-def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **share) -> tuple[DataFrame, DataFrame]:
+def _size(text_col: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", by_size: bool = True, **share) -> tuple[DataFrame, DataFrame]:
     """(id, source, size, x, key) of every document, and for every source its target and the cut that its documents obey.
 
-    A document's copies follow from its own draw and its source's row. The second table has one row a source and is stored,
-    so Spark knows its size and broadcasts it where it is small.
+    A document's copies follow from its own draw and size and its source's row. The second table has one row a source and is stored,
+    so Spark knows its size and broadcasts it where it is small. by_size=False gives all documents of a source equal odds.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = stash(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), _draw(id_col).alias("x"), _key(source_col).alias("key")), "sizes")
-    rows = rows.withColumn("bucket", F.shiftright("x", 36).cast("int"))
+    rows = stash(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), _size(text_col).alias("size"), _draw(id_col).alias("x"), _key(source_col).alias("key")), "sizes")
+    weight = _weight(F.col("size"), by_size)
 
-    # The map-side sums are at most BUCKETS rows a source; they move once, and everything per source comes from them.
-    sums = stash(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("n")), "sums")
-    aims = targets(sums.groupBy("source").agg(F.sum("words").alias("s")), **share)
+    # At most some 60 size classes a source.
+    classes = stash(rows.groupBy("source", "key", weight.alias("w")).agg(F.sum("size").alias("words")), "classes")
+    aims = targets(classes.groupBy("source").agg(F.sum("words").alias("s")), **share)
     ratio = F.when(F.col("s") > 0, F.col("target") / F.col("s")).otherwise(F.lit(0.0))
-    aims = aims.withColumn("k", F.floor(ratio).cast("long")).withColumn("p", ratio - F.col("k")).withColumn("due", F.col("target") - F.col("k") * F.col("s"))
-    aims = stash(aims.withColumn("key", _key("source")), "aims")
-
-    keyed = sums.withColumn("key", _key("source"))
+    aims = aims.withColumn("k", F.floor(ratio).cast("long")).withColumn("due", F.col("target") - F.col("k") * F.col("s")).withColumn("key", _key("source"))
+    aims = stash(aims, "aims")
+
+    # c: with the classes above certain, the others share what is left by size; the first class that this suits fixes it.
+    larger = Window.partitionBy("key").orderBy(F.desc("w"))
+    at = classes.where("words > 0").join(aims.select("key", "due"), "key")
+    above = F.coalesce(F.sum("words").over(larger.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("w") * F.col("words")).over(larger.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    at = at.withColumn("c", (F.col("due") - above) / rest).where("c * w <= 1")
+    odds = at.groupBy("key").agg(F.max_by("c", "w").alias("c"))
+    aims = stash(aims.join(odds, "key", "left").withColumn("c", F.greatest(F.coalesce("c", F.lit(0.0)), F.lit(0.0))), "odds")
+
+    ranked = rows.join(aims.select("key", "c", "due"), "key").withColumn("rank", _rank(F.col("x"), weight, F.col("c"))).where("rank is not null")
+    ranked = ranked.withColumn("bucket", F.floor(F.col("rank") * BUCKETS).cast("int"))
+    sums = stash(ranked.groupBy("key", "bucket").agg(F.sum("size").alias("words"), F.max("rank").alias("top"), F.first("due").alias("due")), "sums")
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    at = keyed.withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0))).join(aims.select("key", "k", "p", "due"), "key")
-    edge = at.where("due > base AND due <= base + words").select("key", "bucket", "base", "p", "due")
+    edge = sums.withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0))).withColumn("below", F.coalesce(F.max("top").over(before), F.lit(-1.0)))
+    edge = edge.where("due > base AND due <= base + words").select("key", "bucket", "base", "below")
 
-    # Pareto rank; u lies in the middle of its 2**-48 cell, so it is never 0 or 1.
-    u = (F.col("x") + F.lit(0.5)) / F.lit(2.0**48)
-    rank = (u / (F.lit(1.0) - u)) / (F.col("p") / (F.lit(1.0) - F.col("p")))
-    close = rows.join(edge, ["key", "bucket"]).withColumn("rank", rank)
+    close = ranked.join(edge, ["key", "bucket"])
     upto = Window.partitionBy("key").orderBy("rank").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     cum = close.withColumn("cum", F.col("base") + F.sum("size").over(upto))
-    # The last x of the nearest cut; before the bucket's first row is a cut as well.
-    cuts = cum.groupBy("key").agg(F.min(F.struct(F.abs(F.col("cum") - F.col("due")).alias("off"), "cum", "x")).alias("best"), F.first("bucket").alias("b"), F.first("base").alias("base"), F.first("due").alias("due"))
+    # The last rank of the nearest cut; before the bucket's first row is a cut as well.
+    cuts = cum.groupBy("key").agg(F.min(F.struct(F.abs(F.col("cum") - F.col("due")).alias("off"), "cum", "rank")).alias("best"), F.first("below").alias("below"), F.first("base").alias("base"), F.first("due").alias("due"))
     none = F.abs(F.col("base") - F.col("due")) <= F.col("best.off")
-    cuts = cuts.select("key", F.when(none, F.col("b").cast("long") * (1 << 36) - 1).otherwise(F.col("best.x")).alias("cut"), F.when(none, F.col("base")).otherwise(F.col("best.cum")).alias("got"))
-    aims = stash(aims.join(cuts, "key", "left").withColumn("cut", F.coalesce("cut", F.lit(-1))).withColumn("gap", F.col("due") - F.coalesce("got", F.lit(0))), "cuts")
+    cuts = cuts.select("key", F.when(none, F.col("below")).otherwise(F.col("best.rank")).alias("cut"), F.when(none, F.col("base")).otherwise(F.col("best.cum")).alias("got"))
+    aims = stash(aims.join(cuts, "key", "left").withColumn("cut", F.coalesce("cut", F.lit(-1.0))).withColumn("gap", F.col("due") - F.coalesce("got", F.lit(0))), "cuts")
 
     # One document that was not drawn may fill the gap.
-    spare = rows.join(aims.where("gap > 0").select("key", "cut", "gap"), "key").where("x > cut AND size > 0 AND size < 2 * gap")
+    spare = rows.join(aims.where("gap > 0").select("key", "c", "cut", "gap"), "key").where((_rank(F.col("x"), weight, F.col("c")) > F.col("cut")) & F.expr("size > 0 AND size < 2 * gap"))
     fill = spare.groupBy("key", "gap", "x").agg(F.sum("size").alias("size")).groupBy("key").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")), "x"))["x"].alias("fill"), F.first("gap").alias("g"), F.min(F.abs(F.col("size") - F.col("gap"))).alias("off"))
     aims = aims.join(fill.where("off < g").select("key", "fill"), "key", "left")
-    return rows, stash(aims.select("key", F.col("s").alias("source_size"), "target", "k", "p", "cut", "fill"), "decided")
+    return rows, stash(aims.select("key", F.col("s").alias("source_size"), "target", "k", "c", "cut", "fill"), "decided")
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+def plan(docs: DataFrame, id_col: str = "doc_id", by_size: bool = True, **how) -> DataFrame:
     """One row per document: id, source, size, source_size, target, copies (whole copies), taken (words)."""
-    rows, aims = decide(docs, id_col, **how)
-    copies = _copies(F.col("x"))
+    rows, aims = decide(docs, id_col, by_size=by_size, **how)
+    copies = _copies(F.col("x"), _rank(F.col("x"), _weight(F.col("size"), by_size), F.col("c")))
     return rows.join(aims, "key").select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", by_size: bool = True, **how) -> DataFrame:
     """The mixed documents, all columns of docs: a document with two copies comes twice, one with none not at all.
 
-    The draw comes from the row's own identifier and the cut from its source's row, so texts are joined by source alone and
+    The draw comes from the row's own identifier and size and the cut from its source's row, so texts are joined by source alone and
     not moved while that table is small enough to broadcast.
     """
-    source = how.get("source_col", "source")
-    aims = decide(docs, id_col, **how)[1]
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _draw(id_col).alias("x"), _key(source).alias("key"))
-    both = rows.join(aims, "key").withColumn("copies", _copies(F.col("x"))).where("copies > 0")
+    aims = decide(docs, id_col, text_col, source_col, by_size, **how)[1]
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _draw(id_col).alias("x"), _weight(_size(text_col), by_size).alias("w"), _key(source_col).alias("key"))
+    both = rows.join(aims, "key").withColumn("copies", _copies(F.col("x"), _rank(F.col("x"), F.col("w"), F.col("c")))).where("copies > 0")
     # No document is taken more than twice under the default cap; sequence() holds for any.
     return both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
@@ -143,22 +172,39 @@ WITH d AS (
   SELECT key, s, coalesce(least(level * w, cap), cap) AS target FROM sh, lv
 ), r AS (
   SELECT *, CAST(floor(CASE WHEN s > 0 THEN target / s ELSE 0 END) AS BIGINT) AS k FROM a
+), aims0 AS (
+  SELECT *, target - k * s AS due FROM r
+), e AS (
+  SELECT *, 2.0::DOUBLE ** (length(bin(size)) - 1) AS w FROM d
+), cl AS (
+  SELECT e.key, w, any_value(due) AS due, CAST(sum(size) AS BIGINT) AS words FROM e JOIN aims0 USING (key) WHERE size > 0 GROUP BY e.key, w
+), lc AS (
+  SELECT key, w, (due - coalesce(sum(words) OVER (PARTITION BY key ORDER BY w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / sum(w * words) OVER (PARTITION BY key ORDER BY w DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS c FROM cl
+), od AS (
+  SELECT key, max_by(c, w) AS c FROM lc WHERE c * w <= 1 GROUP BY key
 ), aims AS (
-  SELECT *, CASE WHEN s > 0 THEN target / s ELSE 0 END - k AS p, target - k * s AS due FROM r
-), c AS (
-  SELECT d.*, a.* EXCLUDE (key), sum(size) OVER (PARTITION BY d.key ORDER BY x) AS cum FROM d JOIN aims a ON d.key = a.key
+  SELECT aims0.*, greatest(coalesce(c, 0::DOUBLE), 0::DOUBLE) AS c FROM aims0 LEFT JOIN od USING (key)
+), q AS (
+  SELECT e.*, s, target, k, due, c, (x + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u, c * w AS pi FROM e JOIN aims USING (key)
+), o AS (
+  SELECT *, CASE WHEN pi >= 1 OR pi <= 0 THEN NULL ELSE (u / (1.0::DOUBLE - u)) / (pi / (1.0::DOUBLE - pi)) END AS ratio FROM q
+), k AS (
+  SELECT *, CASE WHEN pi >= 1 THEN 0::DOUBLE WHEN c > 0 THEN ratio / (1.0::DOUBLE + ratio) END AS rank FROM o
+), cm AS (
+  SELECT key, rank, due, sum(size) OVER (PARTITION BY key ORDER BY rank) AS cum FROM k WHERE rank IS NOT NULL
 ), cut AS (
-  SELECT key, arg_min(x, (off, cum, x)) AS cut, arg_min(cum, (off, cum, x)) AS got FROM (
-    SELECT key, -1 AS x, 0 AS cum, due AS off FROM aims
-    UNION ALL SELECT key, x, cum, abs(cum - due) AS off FROM c WHERE p > 0) GROUP BY key
+  SELECT key, arg_min(rank, (off, cum, rank)) AS cut, arg_min(cum, (off, cum, rank)) AS got FROM (
+    SELECT key, -1::DOUBLE AS rank, 0 AS cum, due AS off FROM aims
+    UNION ALL SELECT key, rank, cum, abs(cum - due) AS off FROM cm) GROUP BY key
 ), gap AS (
-  SELECT aims.*, cut, due - got AS gap FROM aims JOIN cut USING (key)
+  SELECT key, cut, due - got AS gap FROM aims JOIN cut USING (key)
 ), f AS (
-  SELECT key, gap, x, sum(size) AS size FROM d JOIN gap USING (key) WHERE gap > 0 AND x > cut AND size > 0 AND size < 2 * gap GROUP BY ALL
+  SELECT key, gap, x, sum(size) AS size FROM k JOIN gap USING (key) WHERE gap > 0 AND rank > cut AND size > 0 AND size < 2 * gap GROUP BY ALL
 ), fill AS (
   SELECT key, arg_min(x, (abs(size - gap), x)) AS fill FROM f GROUP BY key HAVING min(abs(size - gap)) < min(gap)
 )
-SELECT doc_id, size, g.s AS source_size, target,
-  CAST((k + CASE WHEN p > 0 AND (x <= cut OR coalesce(x = fill, false)) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
-FROM d JOIN gap g USING (key) LEFT JOIN fill USING (key)
+SELECT doc_id, size, k.s AS source_size, target,
+  CAST((k.k + CASE WHEN coalesce(rank <= cut, false) OR coalesce(x = fill, false) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken
+FROM k JOIN gap USING (key) LEFT JOIN fill USING (key)
 """
