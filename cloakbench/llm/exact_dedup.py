@@ -1,9 +1,12 @@
 """Exact dedup by content sort, in DataFrame operations only.
 
-Texts are lower-cased in A-Z. Rows are dealt to ranges of (first characters, hash, salt) at splitters that Spark samples,
-sorted externally within their range, and neighbours are compared on the whole text: each run of equal neighbours is one
-group. Only (digest, doc_id) leave that stage. A text that holds more than `hot_share` of the rows is dealt over `salts`
-ranges by its salt, so no task gets all its copies; its runs meet again by SHA-256 of the text, as one row a run.
+Texts are lower-cased in A-Z. Rows are dealt to ranges of (first characters, hash, salt) at splitters that Spark samples and
+sorted externally by whole text within their range, so equal texts are neighbours. Each row is compared with the one before it on
+the whole text: where they differ a run begins. A run's first identifier is the one that stays, its length the size of the group; the
+text is digested once a run. Only narrow rows leave that stage.
+
+A text that holds more than `hot_share` of the rows is dealt over `salts` ranges by its salt, so no task gets all its copies; the
+runs of those few texts alone (at most salts / hot_share rows) meet again by SHA-256.
 
 Defined cases: null text counts as empty; empty texts equal each other; a null doc_id never wins against another and is
 kept only where its whole group has none; of rows that repeat both doc_id and text one is kept; extra columns are ignored;
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, documents, stash
 
 HEAD = 32
+RANGE_CHARS = 128 << 20  # text of a range, about
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", hot_share: float = 0.002, salts: int = 64) -> DataFrame:
@@ -27,27 +31,33 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     rows = docs.select(F.col(id_col).alias("id"), norm.alias("norm")).withColumn("h", F.xxhash64("norm"))
 
     # At most 1 / hot_share hashes can be hot, so the list is bounded whatever the input.
-    counts = stash(rows.groupBy("h").agg(F.count("*").alias("n")), "counts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    counts = stash(rows.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.length("norm")).alias("chars")), "counts")
+    total, chars = (x or 0 for x in counts.agg(F.sum("n"), F.sum("chars")).first())
     hot = counts.where(F.col("n") > F.lit(max(100.0, hot_share * total))).select("h", F.lit(True).alias("hot"))
-    rows = rows.join(F.broadcast(hot), "h", "left")
-    rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id", F.lit("salt")), F.lit(salts))).otherwise(F.lit(0))).drop("hot")
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = [F.substring("norm", 1, HEAD).alias("head"), "h", "salt"]
-    dealt = rows.select(*key, "id", "norm").repartitionByRange(parts, "head", "h", "salt")
-    # The range partitioning already clusters (head, h, salt, norm): this sorts within the ranges and adds no exchange.
-    near = Window.partitionBy("head", "h", "salt", "norm").orderBy(F.col("id").asc_nulls_last() if keep == "min" else F.col("id").desc_nulls_last())
-    ranked = dealt.select("id", "norm", F.row_number().over(near).alias("rank"))
-    # The digest is the same for a run; the run's first row stands for it.
-    marked = stash(ranked.select("id", F.sha2("norm", 256).alias("text_sha256"), "rank"), "runs")
-
-    best = F.min("id") if keep == "min" else F.max("id")
-    runs = marked.groupBy("text_sha256").agg(best.alias("keep_id"), F.count("*").alias("group_size"))
-    out = marked.join(runs, "text_sha256")
+    rows = rows.join(F.broadcast(hot), "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id", F.lit("salt")), F.lit(salts))).otherwise(F.lit(0)))
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // RANGE_CHARS))
+    dealt = rows.select(F.substring("norm", 1, HEAD).alias("head"), "h", "salt", "hot", "id", "norm").repartitionByRange(parts, "head", "h", "salt")
+    # The range partitioning already clusters (head, h, salt): the windows sort within the ranges and add no exchange.
+    place = ["head", "h", "salt"]
+    order = Window.partitionBy(*place).orderBy("norm", F.col("id").asc_nulls_last() if keep == "min" else F.col("id").desc_nulls_last())
+    near = dealt.withColumn("first", ~F.col("norm").eqNullSafe(F.lag("norm").over(order)))
+    near = near.withColumn("run", F.sum(F.col("first").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    near = near.select(*place, "run", "hot", "id", "first", F.when(F.col("first"), F.sha2("norm", 256)).alias("digest"))
+    whole = Window.partitionBy(*place, "run")
+    own = F.struct("id", "digest")
+    begin = F.max(F.when(F.col("first"), own)).over(whole)
+    runs = near.select("id", "hot", "first", begin.alias("begin"), F.count("*").over(whole).alias("n"))
+    marked = stash(runs.select("id", "hot", "first", F.col("begin.id").alias("best"), F.col("begin.digest").alias("text_sha256"), "n"), "runs")
+
+    best = F.min("best") if keep == "min" else F.max("best")
+    met = marked.where("hot AND first").groupBy("text_sha256").agg(best.alias("met_best"), F.sum("n").alias("met_n"), F.lit(True).alias("hot"))
+    out = marked.join(F.broadcast(met), ["text_sha256", "hot"], "left")
+    keep_id = F.when(F.col("hot"), F.col("met_best")).otherwise(F.col("best"))
     # Equal ids of a group share their salt and so their run: only one run can begin with keep_id.
-    kept = (F.col("rank") == 1) & F.col("id").eqNullSafe(F.col("keep_id"))
-    return out.select(F.col("id").alias(id_col), "keep_id", F.col("group_size").cast("long").alias("group_size"), kept.alias("kept"), "text_sha256")
+    kept = F.col("first") & F.col("id").eqNullSafe(keep_id)
+    return out.select(F.col("id").alias(id_col), keep_id.alias("keep_id"), F.coalesce("met_n", "n").cast("long").alias("group_size"), kept.alias("kept"), "text_sha256")
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
