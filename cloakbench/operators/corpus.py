@@ -95,6 +95,33 @@ def bulk(customer: DataFrame, documents: DataFrame, weights: tuple[float, float,
     return rows.select("uid", F.col("uid").alias("input_id"), "category", F.lit(None).cast(TARGET).alias("attack_target"), text.alias("llm_input"), F.when(F.col("category") == "positive", F.col("pii_spans")).otherwise(none).alias("pii_spans"))
 
 
+def bulk_rest(existing: DataFrame, customer: DataFrame, documents: DataFrame, **how) -> DataFrame:
+    """The rows of the bulk dataset that do not exist yet: a stopped run goes on where it ended."""
+    return bulk(customer, documents, **how).join(existing.select("uid"), "uid", "left_anti")
+
+
+def bernoulli(customer: DataFrame, documents: DataFrame, pii_proba: float) -> DataFrame:
+    """The older dataset: each row is positive by a coin of `pii_proba`, else a hard negative one time in ten; values first, ids dense from 0."""
+    if not 0 <= pii_proba <= 1:
+        raise ValueError("a probability is needed")
+    k = F.col("uid")
+    kind = F.when(pick(k, "bernoulli", 10_000) < round(pii_proba * 10_000), "positive").when(pick(k, "hard", 10) == 0, "hard_negative").otherwise("negative")
+    rows = positives(customer).withColumn("category", kind).join(documents.select(F.col("doc_id").alias("uid"), F.col("text").alias("doc_text")), "uid", "left")
+    text = F.when(F.col("category") == "positive", F.col("llm_input")).when(F.col("category") == "hard_negative", hard_negative(k)).otherwise(F.coalesce("doc_text", F.lit("How do I reverse a linked list in Python?")))
+    spans = F.when(F.col("category") == "positive", F.col("pii_spans")).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return pii_first(rows.select("uid", k.alias("input_id"), "category", F.lit(None).cast(TARGET).alias("attack_target"), text.alias("llm_input"), spans.alias("pii_spans")))
+
+
+def pii_first(dataset: DataFrame) -> DataFrame:
+    """Rows with values before those without, each side by uid; ids dense from 0 in that order."""
+    rows = dataset.withColumns({"step": (F.size("pii_spans") == 0).cast("int"), "__uid": F.col("uid")}).drop("uid")
+    return dense_ids(rows, 0, ["step", "__uid"]).drop("step", "__uid")
+
+
+def baseline_categories(dataset: DataFrame) -> DataFrame:
+    return dataset.where(F.col("category").isin(L.CATEGORIES))
+
+
 def baseline_positives(dataset: DataFrame) -> DataFrame:
     return dataset.where((F.col("category") == "positive") & (F.col("uid") == F.col("input_id")))
 
@@ -135,19 +162,30 @@ def fuzzy_rows(dataset: DataFrame, techniques: list[str] | None = None) -> DataF
 
 
 def content_rows(derived: DataFrame, lists: list[list[str]] | None = None) -> DataFrame:
-    """Fuzzy positives (uid set) under each list of context attacks, applied in list order; row-major order is (uid, step)."""
+    """Fuzzy positives (uid set) under each list of context attacks, applied in list order; row-major order is (uid, step).
+
+    What all lists begin with is done once a row; then a row is copied for each list and goes on through its own attacks.
+    """
     lists = lists or L.CONTENT_TECHNIQUES
-    parts = []
-    for n, techniques in enumerate(lists):
-        rows = derived.withColumns({"__text": F.col("llm_input"), "__spans": F.col("pii_spans")})
-        for t in techniques:
-            rows = rows.withColumn("__x", A.content_attack(F.col("__text"), F.col("__spans"), t, F.col("uid"))).withColumns({"__text": F.col("__x.text"), "__spans": F.col("__x.spans")})
-        target = F.struct(F.col("attack_target.pii").alias("pii"), F.array(*map(F.lit, techniques)).alias("context")).cast(TARGET)
-        parts.append(rows.select(F.col("uid").alias("source_uid"), F.lit(n + 1).alias("step"), "input_id", "category", target.alias("attack_target"), F.col("__text").alias("llm_input"), F.col("__spans").alias("pii_spans")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    shared = 0
+    while all(len(x) > shared for x in lists) and len({x[shared] for x in lists}) == 1:
+        shared += 1
+
+    def through(rows: DataFrame, attacked: Column) -> DataFrame:
+        return rows.withColumn("__x", attacked).withColumns({"__text": F.col("__x.text"), "__spans": F.col("__x.spans")}).drop("__x")
+
+    text, spans, by = F.col("__text"), F.col("__spans"), F.col("uid")
+    rows = derived.withColumns({"__text": F.col("llm_input"), "__spans": F.col("pii_spans")})
+    for t in lists[0][:shared]:
+        rows = through(rows, A.content_attack(text, spans, t, by))
+    rows = rows.withColumn("__l", F.explode(F.array(*[F.struct(F.lit(n + 1).alias("step"), F.array(*map(F.lit, x)).alias("names")) for n, x in enumerate(lists)])))
+    for k in range(shared, max(map(len, lists))):
+        out = F.struct(text.alias("text"), spans.cast(f"array<{SPAN}>").alias("spans"))
+        for t in sorted({x[k] for x in lists if len(x) > k}):
+            out = F.when(F.get("__l.names", F.lit(k)) == t, A.content_attack(text, spans, t, by)).otherwise(out)
+        rows = through(rows, out)
+    target = F.struct(F.col("attack_target.pii").alias("pii"), F.col("__l.names").alias("context")).cast(TARGET)
+    return rows.select(F.col("uid").alias("source_uid"), F.col("__l.step").alias("step"), "input_id", "category", target.alias("attack_target"), text.alias("llm_input"), spans.alias("pii_spans"))
 
 
 def with_fuzzy(dataset: DataFrame) -> DataFrame:

@@ -322,12 +322,6 @@ def ctx_fuzz_terms(spark, d):
     return table(spark, d, "documents").select("doc_id", A.fuzz_terms(F.col("text"), F.array(F.lit("email"))).alias("text"))
 
 
-@query("ctx_supportive")
-def ctx_supportive(spark, d):
-    rows = texts(spark, d).withColumn("x", A.supportive_context(F.col("llm_input"), F.col("pii_spans")))
-    return rows.select("uid", F.col("x.text").alias("llm_input"), F.explode("x.spans").alias("s")).select("uid", "llm_input", F.col("s.value").alias("value"), F.col("s.start").cast("long").alias("start"))
-
-
 for _key, (_words, _before) in {k: L.AFFIXES[k] for k in ("affix_redacted", "affix_ignore_pii")}.items():
     _u = (lambda x, w=_words: f"{q(w + ' ')} || {x}") if _before else (lambda x, w=_words: f"{x} || {q(' ' + w)}")
     _n = len(_words) + 1
@@ -359,8 +353,8 @@ def ctx_educational(spark, d):
 CONTEXTS = [c[1] if len(c) > 1 else "" for c in L.CONTENT_TECHNIQUES[:4]] + ["unknown_attack"]
 DATA = f"""
 {VALUES},
-data AS (SELECT uid, t, v, kind, {sql_pick("uid", "cat", 10)} AS u, {sql_pick("uid", "atk", 3)} AS atk, {sql_choose(L.FUZZY_TECHNIQUES, "uid", "tech")} AS tech, {sql_choose(CONTEXTS, "uid", "ctx")} AS ctx FROM texts),
-dataset AS (SELECT uid, t AS llm_input, v, kind, CASE WHEN u < 4 THEN 'negative' WHEN u < 5 THEN 'hard_negative' ELSE 'positive' END AS category,
+data AS (SELECT uid, t, v, w, kind, {sql_pick("uid", "cat", 10)} AS u, {sql_pick("uid", "atk", 3)} AS atk, {sql_choose(L.FUZZY_TECHNIQUES, "uid", "tech")} AS tech, {sql_choose(CONTEXTS, "uid", "ctx")} AS ctx FROM texts),
+dataset AS (SELECT uid, t AS llm_input, v, w, kind, CASE WHEN u < 4 THEN 'negative' WHEN u < 5 THEN 'hard_negative' ELSE 'positive' END AS category,
     CASE WHEN u >= 5 AND atk > 0 THEN [tech] END AS pii, CASE WHEN u >= 5 AND atk > 1 THEN CASE WHEN ctx = '' THEN ['supportive_context'] ELSE ['supportive_context', ctx] END END AS context FROM data),
 bucketed AS (SELECT *, CASE WHEN category = 'negative' THEN 'negatives' WHEN category = 'hard_negative' THEN 'hard_negatives' WHEN pii IS NULL THEN 'positives' WHEN context IS NULL THEN 'adv_positives_direct' ELSE 'adv_positives_direct_indirect' END AS bucket,
     coalesce(array_to_string(pii, '+'), '') || '/' || coalesce(array_to_string(context, '+'), '') AS cell, md5(concat_ws('|', CAST(uid AS VARCHAR), '42')) AS k FROM dataset)
@@ -368,7 +362,7 @@ bucketed AS (SELECT *, CASE WHEN category = 'negative' THEN 'negatives' WHEN cat
 SOME_MODELS = ["presidio", "qwen-guard-4b", "wildguard-7b"]
 PREDICTED = f"""
 {DATA},
-predictions AS (SELECT uid, model, v, kind, category, pii, context, {sql_pick("uid || model", "hit", 4)} AS h FROM bucketed, (SELECT unnest({sql_list(SOME_MODELS)}) AS model))
+predictions AS (SELECT uid, model, v, w, kind, category, pii, context, {sql_pick("uid || model", "hit", 4)} AS h FROM bucketed, (SELECT unnest({sql_list(SOME_MODELS)}) AS model))
 """
 
 
@@ -449,28 +443,11 @@ def attack_allow_list(spark, d):
 # --- corpora -----------------------------------------------------------------------------------------
 
 
-@query("corpus_bulk", f"WITH {VALUES}, u AS (SELECT uid, kind, t, {sql_pick('uid', 'category', 10000)} AS u FROM texts) SELECT uid, CASE WHEN u < 9000 THEN 'negative' WHEN u < 9500 THEN 'positive' ELSE 'hard_negative' END AS category, CASE WHEN u >= 9000 AND u < 9500 THEN CASE WHEN uid % 4 = 0 THEN 2 ELSE 1 END ELSE 0 END AS n_spans FROM u")
-def corpus_bulk(spark, d):
-    return corpus.bulk(table(spark, d, "customer"), table(spark, d, "documents")).select("uid", "category", F.size("pii_spans").alias("n_spans"))
-
-
 def _clean_positives(spark, d) -> DataFrame:
     none = F.lit(None).cast(corpus.TARGET)
     return texts(spark, d).select("uid", F.col("uid").alias("input_id"), F.lit("positive").alias("category"), none.alias("attack_target"), "llm_input", "pii_spans")
 
 
-@query("corpus_fuzzy", f"WITH t AS (SELECT unnest({sql_list(L.FUZZY_TECHNIQUES)}) AS technique, unnest(range(1, 7)) AS step), m AS (SELECT max(c_custkey) AS top FROM customer) SELECT top + row_number() OVER (ORDER BY step, c_custkey) AS uid, c_custkey AS input_id, technique FROM customer, t, m")
-def corpus_fuzzy(spark, d):
-    return corpus.derived_positives(corpus.with_fuzzy(_clean_positives(spark, d))).select("uid", "input_id", F.col("attack_target.pii")[0].alias("technique"))
-
-
-@query("corpus_adversarial", f"WITH t AS (SELECT unnest(range(1, 11)) AS step, unnest({sql_list(['+'.join(c) for c in L.CONTENT_TECHNIQUES])}) AS context), m AS (SELECT max(c_custkey) AS top FROM customer) SELECT top + row_number() OVER (ORDER BY c_custkey, step) AS uid, c_custkey AS source_uid, context FROM customer, t, m")
-def corpus_adversarial(spark, d):
-    top = table(spark, d, "customer").agg(F.max("c_custkey")).first()[0] or 0
-    fuzzy = _clean_positives(spark, d).withColumn("attack_target", F.struct(F.array(F.lit("homoglyph")).alias("pii"), F.lit(None).cast("array<string>").alias("context")).cast(corpus.TARGET))
-    return corpus.dense_ids(corpus.content_rows(fuzzy), top + 1, ["source_uid", "step"]).select("uid", "source_uid", F.array_join("attack_target.context", "+").alias("context"))
-
-
 @query("strip_derived", f"WITH {DATA} SELECT uid, category FROM dataset WHERE category <> 'positive' OR uid % 2 = 0")
 def strip_derived(spark, d):
     rows = dataset(spark, d).withColumn("input_id", F.when(F.col("uid") % 2 == 0, F.col("uid")).otherwise(F.lit(-1)))
@@ -546,9 +523,17 @@ for _level, _tp in _TP.items():
     query(f"span_score_{_level}", "WITH " + SCORES.replace("{tp}", f"({_tp})"))(lambda spark, d, level=_level: _scores(spark, d, level))
 
 
-@query("eval_join", f"WITH {PREDICTED} SELECT uid, model, CAST(h AS BIGINT) > 0 AS blocked, coalesce(category, '') AS category FROM predictions WHERE context IS NULL OR NOT list_contains(context, 'unknown_attack')")
+_EVAL = SCORES[SCORES.index("s1 AS") :].replace("{tp}", f"({_TP['both']})")
+
+
+@query(
+    "eval_join",
+    f"""WITH {PREDICTED}, s0 AS (SELECT uid, model, coalesce(category, '') AS category, {TRUE_N} AS nt, v, w, kind, h FROM predictions WHERE context IS NULL OR NOT list_contains(context, 'unknown_attack')),
+    {_EVAL.replace("SELECT uid, tp AS", "SELECT uid, model, category, h > 0 AS blocked, tp AS")}""",
+)
 def eval_join(spark, d):
-    return evaluation.evaluate(predictions(spark, d), dataset(spark, d), SOME_MODELS).select("uid", "model", (F.size("prediction") > 0).alias("blocked"), F.coalesce("category", F.lit("")).alias("category"))
+    got = evaluation.evaluate(predictions(spark, d), dataset(spark, d), SOME_MODELS)
+    return got.select("uid", "model", F.coalesce("category", F.lit("")).alias("category"), (F.size("prediction") > 0).alias("blocked"), "spans_score.*")
 
 
 RATES = f"""{PREDICTED}, rates AS (SELECT model, coalesce(array_to_string(pii, '+'), '') || '/' || coalesce(array_to_string(context, '+'), '') AS attack, count(*) AS n, CAST(sum(CAST(h > 0 AS INTEGER)) AS BIGINT) AS blocked, round(avg(CAST(h > 0 AS DOUBLE)), 6) AS rate FROM predictions WHERE category = 'positive' GROUP BY ALL)"""
