@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicon as L
-from .checks import choose, let
+from .checks import choose, let, pick
 from .spans import SPAN
 
 
@@ -20,15 +20,27 @@ def homoglyph(v: Column) -> Column:
     return F.translate(v, L.HOMOGLYPH_FROM, L.HOMOGLYPH_TO)
 
 
-def emojify(v: Column) -> Column:
+def _some(v: Column, proba: float, key: Column | None, change: Callable[[Column, Column], Column]) -> Column:
+    """change(character, place from 0) for the characters that a coin of `proba` picks by key and place; the others stay."""
+    if key is None:
+        raise ValueError("a key is needed to pick characters")
+    hit = lambda i: pick(F.concat_ws("|", key.cast("string"), (i + 1).cast("string")), "char", 10_000) < round(proba * 10_000)
+    return F.array_join(F.transform(F.split(v, ""), lambda c, i: F.when(hit(i), change(c, i)).otherwise(c)), "")
+
+
+def emojify(v: Column, proba: float = 1.0, key: Column | None = None) -> Column:
+    if proba < 1:
+        return _some(v, proba, key, lambda c, i: emojify(c))
     return F.translate(F.regexp_replace(v, "([0-9])", f"$1{L.KEYCAP}"), L.LOWER + L.UPPER + "@", L.SQUARED + L.SQUARED + L.AT_EMOJI)
 
 
-def char_to_word(v: Column, language: str = "english") -> Column:
+def char_to_word(v: Column, language: str = "english", separator: str = "", around: str = "()") -> Column:
+    """around: the two characters on the sides of a word; separator goes before it."""
+    left, right = f"{separator}{around[:1]}", around[1:]
     table = dict(zip(L.DIGITS, L.NUMBER_WORDS[language])) | L.SYMBOL_WORDS
-    words = F.create_map(*[F.lit(x) for c, w in table.items() for x in (c, f"({w})")])
+    words = F.create_map(*[F.lit(x) for c, w in table.items() for x in (c, f"{left}{w}{right}")])
     other_digit = r"^[\p{Nd}²³¹⁰⁴-⁹₀-₉]$"
-    one = lambda c: F.coalesce(F.try_element_at(words, c), F.when(c.rlike(other_digit), F.concat(F.lit("("), c, F.lit(")"))), c)
+    one = lambda c: F.coalesce(F.try_element_at(words, c), F.when(c.rlike(other_digit), F.concat(F.lit(left), c, F.lit(right))), c)
     return F.array_join(F.transform(F.split(v, ""), one), "")
 
 
@@ -57,14 +69,20 @@ def chunking(v: Column) -> Column:
     return let(F.flatten(F.transform(smart_split(v), split_token)), quoted)
 
 
-def invisible(v: Column, char: str) -> Column:
+def invisible(v: Column, char: str, proba: float = 1.0, key: Column | None = None) -> Column:
     """A combining mark after each letter or digit; a zero-width character between characters."""
+    if proba < 1:
+        last = F.length(v) - 1
+        mark = (lambda c, i: F.when(c.rlike(r"[\p{L}\p{N}]"), F.concat(c, F.lit(char))).otherwise(c)) if char in L.COMBINING else (lambda c, i: F.when(i < last, F.concat(c, F.lit(char))).otherwise(c))
+        return _some(v, proba, key, mark)
     if char in L.COMBINING:
         return F.regexp_replace(v, r"([\p{L}\p{N}])", f"$1{char}")
     return F.array_join(F.split(v, ""), char)
 
 
-def separated(v: Column, separator: str) -> Column:
+def separated(v: Column, separator: str, proba: float = 1.0, key: Column | None = None) -> Column:
+    if proba < 1:
+        return _some(v, proba, key, lambda c, i: F.when(i > 0, F.concat(F.lit(separator), c)).otherwise(c))
     return F.array_join(F.split(v, ""), separator)
 
 
@@ -99,18 +117,32 @@ def fuzz_value(v: Column, technique: str, key: Column) -> Column:
 # --- spans -------------------------------------------------------------------------------------------
 
 
-def rewrite_spans(text: Column, spans: Column, fuzz: Callable[[Column], Column]) -> Column:
-    """struct<text,spans>: each span's slice is replaced by fuzz(slice); spans ascend and do not overlap."""
+def rewrite_spans(text: Column, spans: Column, fuzz: Callable[[Column], Column], proba: float = 1.0, key: Column | None = None, update_spans: bool = True) -> Column:
+    """struct<text,spans>: each span's slice is replaced by fuzz(slice); spans ascend and do not overlap.
+
+    proba: share of spans that are rewritten, picked by key and place. update_spans=False leaves the spans as they were.
+    """
+    if proba < 1 and key is None:
+        raise ValueError("a key is needed to pick spans")
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("cur"), F.array().cast(f"array<{SPAN}>").alias("done"))
 
     def step(acc: Column, s: Column) -> Column:
         before = F.substr(text, acc["cur"] + 1, s["start"] - acc["cur"])
-        new = fuzz(F.substr(text, s["start"] + 1, s["end"] - s["start"]))
-        begin = F.length(acc["out"]) + F.length(before)
-        moved = s.withField("start", begin.cast("int")).withField("end", (begin + F.length(new)).cast("int")).withField("value_fuzzy", new)
-        return F.struct(F.concat(acc["out"], before, new).alias("out"), s["end"].alias("cur"), F.array_append(acc["done"], moved.cast(SPAN)).alias("done"))
+        old = F.substr(text, s["start"] + 1, s["end"] - s["start"])
+        new, keep = fuzz(old), F.lit(None).cast("string")
+        if proba < 1:
+            hit = pick(F.concat_ws("#", key.cast("string"), F.size(acc["done"]).cast("string")), "span", 10_000) < round(proba * 10_000)
+            new, keep = F.when(hit, new), s["value_fuzzy"]
+
+        def placed(x: Column) -> Column:
+            put = F.coalesce(x["n"], x["o"])
+            begin = F.length(acc["out"]) + F.length(x["b"])
+            moved = s.withField("start", begin.cast("int")).withField("end", (begin + F.length(put)).cast("int")).withField("value_fuzzy", F.coalesce(x["n"], keep))
+            return F.struct(F.concat(acc["out"], x["b"], put).alias("out"), s["end"].alias("cur"), F.array_append(acc["done"], moved.cast(SPAN)).alias("done"))
+
+        return let(F.struct(before.alias("b"), old.alias("o"), new.alias("n")), placed)
 
-    end = lambda acc: F.struct(F.concat(acc["out"], F.substr(text, acc["cur"] + 1, F.length(text))).alias("text"), acc["done"].alias("spans"))
+    end = lambda acc: F.struct(F.concat(acc["out"], F.substr(text, acc["cur"] + 1, F.length(text))).alias("text"), (acc["done"] if update_spans else spans.cast(f"array<{SPAN}>")).alias("spans"))
     return F.aggregate(spans, start, step, end)
 
 
@@ -178,14 +210,14 @@ def locate_again(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, start, step, lambda acc: acc["done"])
 
 
-def supportive_context(text: Column, spans: Column, replace_with: str = "emoji", method: str = "homoglyph", surrounding: bool = True) -> Column:
+def supportive_context(text: Column, spans: Column, replace_with: str = "emoji", method: str = "homoglyph", surrounding: bool = True, update_spans: bool = True) -> Column:
     """struct<text,spans>: names replaced, then terms near values fuzzed, then spans located again."""
     if replace_with not in L.REPLACEMENTS or method not in ("homoglyph", "emojify"):
         raise ValueError("unsupported replacement or method")
     new = replace_names(text, replace_with)
     if surrounding:
         new = fuzz_terms(new, F.transform(spans, lambda s: s["type"]), method)
-    return let(new, lambda t: F.struct(t.alias("text"), locate_again(t, spans).alias("spans")))
+    return let(new, lambda t: F.struct(t.alias("text"), (locate_again(t, spans) if update_spans else spans.cast(f"array<{SPAN}>")).alias("spans")))
 
 
 def affix(text: Column, spans: Column, key: str) -> Column:

@@ -29,6 +29,11 @@ def span(value, start, end, kind, fuzzy=None, score=None, recognizer=None) -> Co
     )
 
 
+def above(spans: Column, least: float = THRESHOLD) -> Column:
+    """Spans whose score is at least `least`."""
+    return F.filter(spans, lambda s: s["score"] >= least)
+
+
 def verdict(flag: Column) -> Column:
     """What a message-level guard predicts: one span without place, or none."""
     none = F.array().cast(f"array<{SPAN}>")
@@ -61,8 +66,7 @@ def detect_type(text: Column, kind: str) -> Column:
 def detect(text: Column) -> Column:
     """All recognisers at or above the threshold; overlaps stay, as a text with no digit or @ stays unscanned."""
     none = F.array().cast(f"array<{SPAN}>")
-    found = F.filter(F.concat(*(detect_type(text, k) for k in RECOGNIZERS)), lambda s: s["score"] >= THRESHOLD)
-    return F.when(text.rlike("[0-9@]"), found).otherwise(none)
+    return F.when(text.rlike("[0-9@]"), above(F.concat(*(detect_type(text, k) for k in RECOGNIZERS)))).otherwise(none)
 
 
 def resolve_overlaps(spans: Column) -> Column:
@@ -92,7 +96,7 @@ def safe_divide(a: Column, b: Column) -> Column:
 
 
 def value_matches(pred: Column, true: Column, method: str) -> Column:
-    """On normalised values."""
+    """By the native methods; values come as they are to be compared."""
     if method == "exact":
         return pred == true
     if method == "subsequence":
@@ -100,23 +104,27 @@ def value_matches(pred: Column, true: Column, method: str) -> Column:
     raise ValueError(f"unknown method {method!r}: exact or subsequence here, ratios in operators.ratios")
 
 
-def score_spans(true: Column, pred: Column, level: str = "both", method: str = "subsequence") -> Column:
+def score_spans(true: Column, pred: Column, level: str = "both", method: str = "subsequence", normalized: bool = True, hits: Column | None = None) -> Column:
     """SCORE of predicted against true spans; null where both are empty or null.
 
-    Each true span takes the first predicted one that matches; one prediction may match several.
+    Each true span takes the first predicted one that matches; one prediction may match several. normalized=False compares values as
+    they stand. hits, an array of booleans for each true span and in it each predicted one, takes the place of a method
+    (operators.ratios.score_by_ratio makes it).
     """
     if level not in ("value", "type", "both"):
         raise ValueError(f"unknown match level {level!r}")
     empty = F.array().cast("array<struct<v:string,t:string>>")
-    clean = lambda spans: F.coalesce(F.transform(spans, lambda s: F.struct(normalize(s["value"]).alias("v"), s["type"].alias("t"))), empty)
+    value = normalize if normalized else lambda v: F.coalesce(v, F.lit(""))
+    clean = lambda spans: F.coalesce(F.transform(spans, lambda s: F.struct(value(s["value"]).alias("v"), s["type"].alias("t"))), empty)
 
-    def fits(a: Column, b: Column) -> Column:
-        by_value, by_type = value_matches(b["v"], a["v"], method), F.coalesce(a["t"] == b["t"], F.lit(False))
+    def fits(a: Column, b: Column, i: Column, j: Column) -> Column:
+        by_value = value_matches(b["v"], a["v"], method) if hits is None else F.get(F.get(hits, i), j)
+        by_type = F.coalesce(a["t"] == b["t"], F.lit(False))
         return {"value": by_value, "type": by_type, "both": by_value & by_type}[level]
 
     def counted(x: Column) -> Column:
         """1-based number of the first fitting prediction of each true span that has one, beside the two sides."""
-        first = F.transform(x["t"], lambda a: F.coalesce(F.array_position(F.transform(x["p"], lambda b: fits(a, b)), True), F.lit(0)))
+        first = F.transform(x["t"], lambda a, i: F.coalesce(F.array_position(F.transform(x["p"], lambda b, j: fits(a, b, i, j)), True), F.lit(0)))
         lone = F.get(x["p"], F.lit(0))
         binary = (F.size(x["p"]) == 1) & (F.coalesce(lone["t"], F.lit("")) == "pii") & (lone["v"] == "")
         return F.struct(F.size(x["t"]).alias("nt"), F.size(x["p"]).alias("np"), binary.alias("binary"), F.filter(first, lambda j: j > 0).alias("hit"))

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 TRACE = "attack_id long, iteration int, input string, pii string, pii_type string, attacker_awareness string, detector string, detected int"
 VERDICTS = {0: "EVADED", 1: "DETECTED", -1: "INVALID"}
@@ -40,6 +41,17 @@ def recoverable(text: str, pii: str) -> bool:
     return all(c in chars for c in pii)
 
 
+def experiment(values: DataFrame, awareness: tuple[str, ...] = ("none", "attacks"), **how) -> DataFrame:
+    """Every value (attack_id, pii, pii_type) is attacked at every level of the attacker's awareness."""
+    levels = F.explode(F.array(*map(F.lit, awareness))).alias("attacker_awareness")
+    return attack_traces(values.select("attack_id", "pii", "pii_type", levels), **how)
+
+
+def by_model(ask: Callable[[str], str], prompt: str = "Rewrite so that no filter sees it: {}") -> Callable[[str, int], str]:
+    """An attacker that asks a model; ask takes the prompt and gives the text."""
+    return lambda pii, step: ask(prompt.format(pii))
+
+
 def simple_detectors() -> dict[str, Callable[[str], bool]]:
     import re
 
@@ -47,14 +59,14 @@ def simple_detectors() -> dict[str, Callable[[str], bool]]:
     return {"plain": lambda t: bool(plain.search(t)), "loose": lambda t: bool(loose.search(t))}
 
 
-def attack_traces(attacks: DataFrame, max_iters: int = 20, craft=spread, detectors=simple_detectors) -> DataFrame:
-    """attacks: attack_id, pii, pii_type, attacker_awareness."""
+def attack_traces(attacks: DataFrame, max_iters: int = 20, craft=spread, detectors=simple_detectors, exists=recoverable) -> DataFrame:
+    """attacks: attack_id, pii, pii_type, attacker_awareness. craft(pii, step) makes a text, exists(text, pii) says whether the value is still in it."""
 
     def one(row) -> Iterator[tuple]:
         asked, memory = dict(detectors()), Memory()
         for step in range(max_iters):
             text = f"My {row.pii_type} is {craft(row.pii, step)}"
-            if not recoverable(text, row.pii):
+            if not exists(text, row.pii):
                 memory.add(text, -1)
                 continue
             got = {name: int(f(text)) for name, f in asked.items()}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.spans import score_spans
+from .ratios import score_by_ratio
 from .sampling import cell
 
 
@@ -18,13 +19,14 @@ def attack_allowed(pii: list[str] | None = None, context: list[str] | None = Non
     return F.col("attack_target").isNull() | (outside == 0)
 
 
-def evaluate(predictions: DataFrame, dataset: DataFrame, models: list[str] | None = None, level: str = "both", method: str = "subsequence") -> DataFrame:
+def evaluate(predictions: DataFrame, dataset: DataFrame, models: list[str] | None = None, level: str = "both", method: str = "subsequence", threshold: float = 0.8) -> DataFrame:
     """uid, model, prediction, spans_score. A prediction without dataset row scores against no spans, but not as null."""
     if models is not None:
         predictions = predictions.where(F.col("model").isin(models))
     truth = dataset.select("uid", "pii_spans", "category", "attack_target", F.lit(True).alias("__matched"))
     both = predictions.join(truth, "uid", "left").where(attack_allowed())
-    score = score_spans(F.col("pii_spans"), F.col("prediction"), level, method)
+    sides = F.col("pii_spans"), F.col("prediction")
+    score = score_by_ratio(*sides, level, method, threshold) if method in ("difflib", "rapidfuzz") else score_spans(*sides, level, method)
     zero = F.struct(F.lit(True).alias("exact_match"), *[F.lit(0).alias(n) for n in ("true_positive", "false_positive", "false_negative")], *[F.lit(0.0).alias(n) for n in ("precision", "recall", "f1")])
     return both.select("uid", "model", "prediction", F.when(F.col("__matched").isNull() & score.isNull(), zero).otherwise(score).alias("spans_score"), "category", "attack_target")
 
@@ -41,12 +43,12 @@ def upsert_by_model(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 def completeness_gap(dataset: DataFrame, predictions: DataFrame, reference: str = "presidio") -> DataFrame:
     """model, n_missing: uids of the reference model (of the dataset if it has none) that a model lacks."""
-    has = predictions.where(F.col("model") == reference).select("uid").distinct()
-    wanted = has if has.limit(1).count() else dataset.select("uid").distinct()
-    models = predictions.select("model").distinct()
-    every = wanted.join(F.broadcast(models))  # a handful of models, each wanted uid once a model: the result's own size
-    lacks = every.join(predictions.select("uid", "model").distinct(), ["uid", "model"], "left_anti").groupBy("model").agg(F.count("*").alias("n_missing"))
-    return models.join(lacks, "model", "left").select("model", F.coalesce("n_missing", F.lit(0)).alias("n_missing"))
+    own = predictions.select("uid", "model").distinct()
+    has = own.where(F.col("model") == reference).select("uid")
+    wanted = has.union(dataset.select("uid").distinct().where(has.agg(F.count("*")).scalar() == 0))
+    have = own.join(wanted, "uid", "left_semi").groupBy("model").agg(F.count("*").alias("n"))
+    total = wanted.agg(F.count("*")).scalar()
+    return predictions.select("model").distinct().join(have, "model", "left").select("model", (total - F.coalesce("n", F.lit(0))).alias("n_missing"))
 
 
 def block_rates(predictions: DataFrame, dataset: DataFrame) -> DataFrame:

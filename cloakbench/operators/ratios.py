@@ -5,10 +5,13 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import lexicon as L
+from ..functions.checks import normalize
+from ..functions.spans import SPAN, score_spans
 
 
 def _ratio(a: str, b: str) -> float:
@@ -57,9 +60,43 @@ LOOSE = {
 }
 
 
-def budget_specs() -> list[tuple[str, str, float]]:
-    """(type, tolerant pattern, score): the score falls with the square of the edits allowed."""
-    return [(kind, f"(?:{LOOSE[kind][0]}){{s<={s},d<={d}}}", round(LOOSE[kind][1] / (s + d + 1) ** 2, 2)) for kind, budgets in L.BUDGETS.items() for d, s in budgets]
+def budget_specs(budgets: dict[str, list[tuple[int, ...]]] | None = None) -> list[tuple[str, str, float]]:
+    """(type, tolerant pattern, score): the score falls with the square of the edits allowed.
+
+    budgets: for each type pairs of (deletions, substitutions). A type without a budget, and insertions (a third number), are errors.
+    """
+    out = []
+    for kind, pairs in (L.BUDGETS if budgets is None else budgets).items():
+        if not pairs:
+            raise ValueError(f"no edit budget for {kind}")
+        for pair in pairs:
+            if len(pair) > 2 and pair[2]:
+                raise ValueError("insertions are not supported")
+            d, s = pair[:2]
+            out.append((kind, f"(?:{LOOSE[kind][0]}){{s<={s},d<={d}}}", round(LOOSE[kind][1] / (s + d + 1) ** 2, 2)))
+    return out
+
+
+def budget_table(spark: SparkSession) -> DataFrame:
+    """type, deletions, substitutions, score of the tolerant recognisers."""
+    rows = [(k, d, s, round(LOOSE[k][1] / (s + d + 1) ** 2, 2)) for k, pairs in L.BUDGETS.items() for d, s in pairs]
+    return spark.createDataFrame(rows, "type string, deletions int, substitutions int, score double")
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.BooleanType())))
+def _ratio_hits(true: pd.Series, pred: pd.Series, method: pd.Series, threshold: pd.Series) -> pd.Series:
+    by = {"difflib": _ratio, "rapidfuzz": _partial}
+    return pd.Series([[[by[m](p, t) >= least for p in (ps if ps is not None else [])] for t in (ts if ts is not None else [])] for ts, ps, m, least in zip(true, pred, method, threshold)])
+
+
+def score_by_ratio(true: Column, pred: Column, level: str = "both", method: str = "rapidfuzz", threshold: float = 0.8, normalized: bool = True) -> Column:
+    """score_spans with values matched by a ratio (difflib or rapidfuzz) of at least `threshold`, rounded to two places."""
+    if method not in ("difflib", "rapidfuzz"):
+        raise ValueError(f"unknown method {method!r}")
+    value = normalize if normalized else lambda v: F.coalesce(v, F.lit(""))
+    side = lambda spans: F.transform(F.coalesce(spans, F.array().cast(f"array<{SPAN}>")), lambda s: value(s["value"]))
+    hits = _ratio_hits(side(true), side(pred), F.lit(method), F.lit(threshold))
+    return score_spans(true, pred, level, normalized=normalized, hits=hits)
 
 
 FUZZY = T.ArrayType(T.StructType([T.StructField("value", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("type", T.StringType()), T.StructField("score", T.DoubleType())]))

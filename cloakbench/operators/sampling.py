@@ -44,30 +44,31 @@ def quota_sample(dataset: DataFrame, quotas: dict[str, int | None], seed: int =
     missing = [b for b in L.QUOTAS if b not in quotas]
     if missing:
         raise KeyError(missing[0])
-    rows = dataset.withColumns({"__b": bucket(), "__c": cell(), "__k": order_key(seed)}).where("__b is not null")
-    parts = []
-    for name, quota in quotas.items():
-        own = rows.where(F.col("__b") == name)
-        if quota is None:
-            parts.append(own)
-        elif quota > 0:
-            parts.append(_stratified(own, quota) if name in stratified else _lowest(own, quota))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.drop("__b", "__c", "__k")
-
-
-def _lowest(rows: DataFrame, n: int) -> DataFrame:
-    """A top-n by hash: each task keeps n rows, then the n lowest of those stay."""
-    return rows.orderBy("__k", "uid").limit(n)
-
-
-def _stratified(rows: DataFrame, quota: int) -> DataFrame:
-    cells = rows.select("__c").distinct().groupBy().agg(F.greatest(F.lit(1), F.floor(F.lit(quota) / F.greatest(F.count("*"), F.lit(1)))).alias("__per"))
-    rank = F.row_number().over(Window.partitionBy("__c").orderBy("__k", "uid"))
-    ranked = rows.withColumn("__r", rank).join(F.broadcast(cells)).withColumn("__first", F.col("__r") <= F.col("__per"))
-    picked = ranked.where("__first").drop("__r", "__per", "__first")
-    spare = ranked.where(~F.col("__first")).drop("__r", "__per", "__first")
-    left = quota - picked.count()
-    return picked.unionByName(_lowest(spare, left)) if left > 0 else picked
+    capped = {b: q for b, q in quotas.items() if q is not None and q > 0}
+    rows = dataset.withColumn("__b", bucket())
+    whole = rows.where(F.col("__b").isin([b for b, q in quotas.items() if q is None])).drop("__b")
+    if not capped:
+        return whole
+    quota = F.element_at(F.create_map(*[F.lit(x) for kv in capped.items() for x in kv]), F.col("__b"))
+    rows = rows.where(F.col("__b").isin(list(capped))).withColumns({"__c": F.when(F.col("__b").isin(list(stratified)), cell()).otherwise(F.lit("")), "__k": order_key(seed), "__q": quota})
+
+    # One row a cell: what each gives, and what its bucket still lacks then.
+    bucket_of = Window.partitionBy("__b")
+    cells = rows.groupBy("__b", "__c", "__q").agg(F.count("*").alias("__n"))
+    cells = cells.withColumn("__per", F.greatest(F.lit(1), F.floor(F.col("__q") / F.count("*").over(bucket_of))))
+    cells = cells.withColumn("__left", F.col("__q") - F.sum(F.least("__n", "__per")).over(bucket_of)).select("__b", "__c", "__per", "__left")
+
+    # No cell gives more than the largest quota: tasks keep so many rows of each before the shuffle.
+    rank = F.row_number().over(Window.partitionBy("__b", "__c").orderBy("__k", "uid"))
+    ranked = rows.withColumn("__r", rank).where(F.col("__r") <= max(capped.values())).join(cells, ["__b", "__c"]).withColumn("__first", F.col("__r") <= F.col("__per"))
+    spare = F.row_number().over(Window.partitionBy("__b", "__first").orderBy("__k", "uid"))
+    picked = ranked.withColumn("__s", spare).where(F.col("__first") | (F.col("__s") <= F.col("__left")))
+    return whole.unionByName(picked.select(*dataset.columns))
+
+
+def sample_report(dataset: DataFrame, quotas: dict[str, int | None], **how) -> DataFrame:
+    """bucket, pool, cap (null: none), sampled."""
+    pools = bucket_counts(dataset).withColumnRenamed("n", "pool")
+    taken = bucket_counts(quota_sample(dataset, quotas, **how)).withColumnRenamed("n", "sampled")
+    caps = F.create_map(*[x for b, q in quotas.items() for x in (F.lit(b), F.lit(q).cast("long"))])
+    return pools.join(taken, "bucket", "left").select("bucket", "pool", F.try_element_at(caps, F.col("bucket")).alias("cap"), F.coalesce("sampled", F.lit(0)).alias("sampled"))

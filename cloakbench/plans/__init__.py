@@ -1,6 +1,6 @@
 """All queries of the library and their SQL."""
 
-from . import generation  # noqa: F401
+from . import detectors, generation  # noqa: F401
 from .queries import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

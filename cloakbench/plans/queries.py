@@ -430,7 +430,7 @@ def upsert_by_model(spark, d):
     return evaluation.upsert_by_model(have, have.where("model = 'wildguard-7b' AND uid % 2 = 0")).select("uid", "model")
 
 
-@query("completeness_gap", f"WITH {PREDICTED} SELECT model, count_if(model = 'wildguard-7b' AND uid % 5 = 0) AS n_missing FROM predictions GROUP BY model")
+@query("completeness_gap", f"WITH {PREDICTED} SELECT model, CAST(count_if(model = 'wildguard-7b' AND uid % 5 = 0) AS BIGINT) AS n_missing FROM predictions GROUP BY model")
 def completeness_gap(spark, d):
     return evaluation.completeness_gap(dataset(spark, d), predictions(spark, d).where("NOT (model = 'wildguard-7b' AND uid % 5 = 0)"))
 

@@ -45,6 +45,12 @@ def write_csv(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     rows.withColumns({c: F.to_json(c) for c in nested}).write.csv(path, header=True, quote='"', escape='"', mode=mode)
 
 
+def append_csv(spark: SparkSession, rows: DataFrame, path: str) -> None:
+    """One more batch into a CSV folder; each file carries the header once. An empty batch writes nothing."""
+    if not rows.isEmpty():
+        write_csv(rows, path, mode="append")
+
+
 def append_predictions(rows: DataFrame, path: str) -> None:
     """One folder a model; an empty batch writes nothing."""
     rows.write.mode("append").partitionBy("model").parquet(path)
@@ -55,20 +61,54 @@ def replace_models(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model").parquet(path)
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Damaged files are skipped."""
-    return spark.read.option("ignoreCorruptFiles", "true").parquet(path)
+def read_predictions(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """Damaged files are skipped and named in the log. schema: of the columns beside model."""
+    reader = spark.read.option("ignoreCorruptFiles", "true")
+    return (reader.schema(T.StructType([*schema.fields, T.StructField("model", T.StringType())])) if schema is not None else reader).parquet(path)
+
+
+def _files(spark: SparkSession, path: str):
+    """(file system, path) of any store that Spark knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def rename_suffix(spark: SparkSession, folder: str, old: str, new: str) -> None:
+    store, where = _files(spark, folder)
+    for f in store.listStatus(where):
+        name = f.getPath().getName()
+        if name.endswith(old):
+            store.rename(f.getPath(), spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name.removesuffix(old)}{new}"))
+
+
+def drop_parts(spark: SparkSession, folder: str, manifest: Manifest, models: list[str]) -> bool:
+    """Delete the folder of single-model parts once every model is completed or skipped."""
+    if not manifest.all_done(models):
+        return False
+    store, where = _files(spark, folder)
+    return bool(store.delete(where, True))
 
 
 class Manifest:
-    """Stage and detection progress in a JSON file, replaced atomically."""
+    """Stage, model and batch progress in a JSON file, replaced atomically. It lies beside the driver, not in the store."""
 
     def __init__(self, path: str):
         self.path = path
-        self.state = {"stage": -1, "detection": {"completed": [], "skipped": {}, "in_progress": None}}
+        self.state = self.fresh()
         if os.path.exists(path):
             with open(path, encoding="utf-8") as f:
                 self.state |= json.load(f)
+            self._migrate()
+
+    @staticmethod
+    def fresh() -> dict:
+        return {"stage": -1, "detection": {"completed": [], "skipped": {}, "in_progress": None}}
+
+    def _migrate(self) -> None:
+        """An older file lists the uids of a model that is under way; their number is kept."""
+        now = self.state["detection"].get("in_progress")
+        if now and "processed_uids" in now:
+            now["processed_count"] = len(now.pop("processed_uids"))
 
     def save(self) -> None:
         folder = os.path.dirname(os.path.abspath(self.path))
@@ -78,10 +118,23 @@ class Manifest:
             json.dump(self.state, f)
         os.replace(part, self.path)
 
+    def clear(self) -> None:
+        self.state = self.fresh()
+        self.save()
+
     def finish_stage(self, stage: int) -> None:
         self.state["stage"] = max(stage, self.state["stage"])
         if stage >= 3:
-            self.state["detection"] = {"completed": [], "skipped": {}, "in_progress": None}
+            self.state["detection"] = self.fresh()["detection"]
+        self.save()
+
+    def rewind(self, stage: int) -> None:
+        """The stage and those after it count as not done."""
+        self.state["stage"] = min(self.state["stage"], stage - 1)
+        self.save()
+
+    def begin_model(self, model: str, processed: int) -> None:
+        self.state["detection"]["in_progress"] = {"model": model, "processed_count": processed}
         self.save()
 
     def finish_model(self, model: str) -> None:
@@ -92,6 +145,7 @@ class Manifest:
 
     def skip_model(self, model: str, reason: str) -> None:
         self.state["detection"]["skipped"][model] = reason[:80]
+        self.state["detection"]["in_progress"] = None
         self.save()
 
     def all_done(self, models: list[str]) -> bool:
@@ -99,11 +153,15 @@ class Manifest:
         return set(models) <= {*done["completed"], *done["skipped"]}
 
 
-def archive(folder: str, names: tuple[str, ...] = ("dataset", "predictions", "evaluations")) -> str:
-    """Move a run's tables below archive/<time>."""
-    to = os.path.join(folder, "archive", time.strftime("%Y%m%d-%H%M%S"))
-    os.makedirs(to, exist_ok=True)
+def archive(spark: SparkSession, folder: str, manifest: Manifest | None = None, names: tuple[str, ...] = ("dataset", "predictions", "evaluations")) -> str:
+    """Move a run's tables below archive/<time>, in whatever store they are, and clear its progress."""
+    to = f"{folder.rstrip('/')}/archive/{time.strftime('%Y%m%d-%H%M%S')}"
+    store, where = _files(spark, to)
+    store.mkdirs(where)
     for n in names:
-        if os.path.exists(os.path.join(folder, n)):
-            os.replace(os.path.join(folder, n), os.path.join(to, n))
+        _, at = _files(spark, f"{folder.rstrip('/')}/{n}")
+        if store.exists(at):
+            store.rename(at, spark._jvm.org.apache.hadoop.fs.Path(f"{to}/{n}"))
+    if manifest is not None:
+        manifest.clear()
     return to
