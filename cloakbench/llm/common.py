@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,6 +84,22 @@ def give_back() -> None:
         trim(0)
 
 
+def summed(parts: DataFrame, pieces: int) -> dict[int, tuple[np.ndarray, int]]:
+    """k -> (sum of the float64 arrays in `total`, sum of n) over rows (k int below `pieces`, total binary, n long), added up on the executors."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for b in batches:
+            for k, x, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                had = sums.setdefault(k, [0.0, 0])
+                sums[k] = [had[0] + np.frombuffer(x.as_buffer(), np.float64), had[1] + n]
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x, _ in sums.values()], pa.binary()), pa.array([n for _, n in sums.values()], pa.int64())], ["k", "total", "n"])
+
+    got = parts.select("k", "total", "n").repartition(pieces, "k").mapInArrow(add, "k int, total binary, n long").toArrow()
+    return {r["k"]: (np.frombuffer(r["total"], np.float64), r["n"]) for r in got.to_pylist()}
+
+
 def ascii_lower(text):
     """Lower-case A-Z only.
 

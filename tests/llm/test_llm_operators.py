@@ -216,30 +216,120 @@ def test_pipeline_links_edited_copies(spark):
     assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, frame, "").collect()) == [1, 3]
 
 
-ITEMS = [(1, "Alice has 12 apples and buys 5 more apples at the market, so Alice pays 12 dollars in total today."), (2, None), (3, "too short"), (4, "")]
+ITEMS = [
+    (1, "Alice has 12 apples and buys 5 more apples at the market, so Alice pays 12 dollars in total today."), (2, None), (3, "too short"), (4, ""),
+    (5, "rivers run slowly to the sea"), (6, "12 34 56 78 90 11 13 15 17"), (7, "In 1969 Neil walked 3 km over dust, Neil then drove 3 km more back to the lander."),
+]
 CASES = [
     (1, "intro text here. Then Bob has 7 apples and buys 9 more apples at the market, so Bob pays 7 euros in total today. bye"),
     (2, "Then Bob has 7 apples and buys 9 more apples at the market, so Carl pays 8 euros in total today."),
     (3, None), (4, ""), (5, "nothing to see"), (None, ITEMS[0][1]), (6, ITEMS[0][1].lower()), (6, "other text"),
+    (7, "They say rivers run slowly to the sea, always."), (8, "rivers run quickly to the sea"), (9, "The list 12 34 56 78 90 11 13 15 17 ends."), (10, "99 34 56 78 90 11 99 15 17"),
+    (11, "In 1975 Olga walked 8 m over dust, Olga then drove 8 m more back to the lander. In 1980 Ivan walked 2 m over dust, Ivan then drove 2 m more back to the lander."),
+    (12, "In 1975 Olga walked 8 m over dust, Ivan then drove 2 m more back to the lander."), (13, "too short"),
+    (14, "Dan has 7 apples and buys 9 more apples at the market, so"), (14, "Eve then said so Dan pays 8 euros in total today."),
 ]
 
 
+def judged(text, items, width=8, coverage=0.5, shortest=3):
+    """Brute force: item -> windows covered."""
+    import regex
+
+    strip = lambda w: regex.sub(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "", w)
+
+    def read(t):
+        raw = [w.decode() for w in (t or "").encode().split() if regex.search(r"[\p{L}\p{N}]", w.decode())]
+        canon = []
+        for k, w in enumerate(raw):
+            before, plain = raw[k - 1] if k else ".", strip(w).lower()
+            if regex.search(r"\p{Nd}", w):
+                canon.append("<num>")
+            elif regex.match(r"[^\p{L}\p{N}]*\p{Lu}\p{Ll}", w) and not regex.search(r"[.!?][^\p{L}\p{N}]*$", before):
+                canon.append("<name>")
+            elif regex.search(r"\p{Nd}", before) and plain in decontam.UNITS:
+                canon.append("<unit>")
+            else:
+                canon.append(plain)
+        return [strip(w).lower() for w in raw], canon
+
+    low_doc, canon_doc = read(text)
+    out = {}
+    for item, t in items:
+        low_item, canon_item = read(t)
+        w = min(width, len(low_item))
+        if w < shortest:
+            continue
+        holders = {"<num>", "<name>", "<unit>"}
+        places = [i for i in range(len(low_item) - w + 1) if 2 * sum(x not in holders for x in canon_item[i : i + w]) >= w]
+        a, b = (canon_doc, canon_item) if places else (low_doc, low_item)
+        places = places or list(range(len(low_item) - w + 1))
+        shifts = defaultdict(set)
+        for i in places:
+            for j in range(len(a) - w + 1):
+                if a[j : j + w] == b[i : i + w]:
+                    shifts[j - i].add(i)
+        good = {}
+        for s, own in shifts.items():
+            values = defaultdict(set)
+            for i in own:
+                for k in range(i, i + w):
+                    if canon_item[k] in holders:
+                        values[low_item[k]].add(low_doc[k + s])
+            if all(len(v) == 1 for v in values.values()):
+                good[s] = (own, values)
+        if not good:
+            continue
+        merged = defaultdict(set)
+        for _, values in good.values():
+            for k, v in values.items():
+                merged[k] |= v
+        if any(len(v) > 1 for v in merged.values()):
+            hit = max(len(own) for own, _ in good.values())
+        else:
+            hit = len(set().union(*(own for own, _ in good.values())))
+        if hit >= coverage * len(places):
+            out[item] = hit
+    return out
+
+
 def test_decontamination(spark):
     bench, docs = spark.createDataFrame(ITEMS, "item_id long, text string"), spark.createDataFrame(CASES, "doc_id long, text string")
-    got = {tuple(r) for r in decontam.matches(docs, bench).collect()}
-    assert {(r[1], r[2]) for r in got} == {(1, 1), (None, 1)}
-    assert got == {tuple(r) for r in decontam.matches(docs, bench, listed_windows=0).collect()}
-    assert {r[6] for r in got if r[1] == 1} == {4}
-    assert sorted(str(r.doc_id) for r in decontam.decontaminate(docs, bench).collect()) == ["2", "3", "4", "5", "6", "6"]
+    rows = decontam.matches(docs, bench).collect()
+    got = {(str(r.id), r.item, r.matched) for r in rows}
+    assert got == {(str(d), item, n) for d, t in CASES for item, n in judged(t, ITEMS).items()}
+    assert {(d, i) for d, i, _ in got} == {("1", 1), ("None", 1), ("7", 5), ("9", 6), ("11", 7)}
+    assert {tuple(r) for r in rows} == {tuple(r) for r in decontam.matches(docs, bench, listed_windows=0).collect()}
+    assert {r.changed for r in rows if r.id == 1} == {4}
+    assert sorted(str(r.doc_id) for r in decontam.decontaminate(docs, bench).collect()) == sorted(str(d) for d, t in CASES if not judged(t, ITEMS))
+    clashing = docs.withColumnsRenamed({"doc_id": "key"}).withColumn("row", F.lit(1))
+    assert decontam.decontaminate(clashing, bench, id_col="key").columns == ["key", "text", "row"]
+
+
+def test_decontamination_changed_questions(spark):
+    """Items of the test data with other numbers, names and units, in two out of three cases consistently."""
+    rng = random.Random(5)
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
+    cases = []
+    for n, (_, t) in enumerate(items * 2):
+        put, words = {}, []
+        for w in t.split():
+            core = w.strip(".,!?;:()\"'")
+            if any(c.isdigit() for c in core):
+                new = str(rng.randint(10, 99)) if n % 3 == 0 else put.setdefault(core, str(rng.randint(100, 999)))
+                w = w.replace(core, new)
+            words.append(w)
+        cases.append((n, "Before it. " + " ".join(words) + " After it."))
+    got = {(r.id, r.item, r.matched) for r in decontam.matches(spark.createDataFrame(cases, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got and got == {(d, item, n) for d, t in cases for item, n in judged(t, items).items()}
 
 
 def test_decontamination_brute_force(spark):
     d = "/root/testdata/sf0.001"
-    items = {r.item_id: r.text for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    holds = {(r.doc_id, i) for r in docs.collect() for i, t in items.items() if t in (r.text or "")}
-    found = {(r.id, r.item) for r in decontam.matches(docs, spark.read.parquet(f"{d}/benchmark.parquet")).collect()}
-    assert holds <= found and len(found - holds) <= 2
+    got = {(r.id, r.item, r.matched) for r in decontam.matches(docs, spark.read.parquet(f"{d}/benchmark.parquet")).collect()}
+    assert got == {(r.doc_id, item, n) for r in docs.collect() for item, n in judged(r.text, items).items()}
+    assert {(r.doc_id, i) for r in docs.collect() for i, t in items if t in (r.text or "")} <= {g[:2] for g in got}
 
 
 def brute_repeats(rows, length):
@@ -352,6 +442,51 @@ def test_classifiers_held_out(spark, module, query, label, least):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
 
 
+def test_squeezed_numbers():
+    rng = np.random.default_rng(0)
+    for x in ([], [0], [65534], [65535], [65536, 131071, 131072], *[np.unique(rng.integers(0, toxicity_pu.BUCKETS, n)) for n in (3, 50, 5000)]):
+        assert (toxicity_pu.unsqueezed(toxicity_pu.squeezed(np.array(x, np.int64))) == x).all()
+
+
+def test_unlabelled_risk_covers_every_row(spark):
+    """Loss, gradient and spread against plain sums over all rows, with copies."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(0, 8))) for _ in range(60)]
+    sets += [sets[0]] * 30 + [np.zeros(0, np.int64)] * 20
+    rows = [(k, toxicity_pu.squeezed(x), *toxicity_pu.min_hashes(x)) for k, x in enumerate(sets)]
+    feats = spark.createDataFrame(rows, "id long, f binary, m1 long, m2 long").repartition(5)
+    chosen, w, bias = np.array([1, 4, 9, 16, 25, 36]), np.array([0.5, -1, 2, 0.1, -0.3, 1.5]), -0.4
+    x = np.array([[float(c in s) for c in chosen] for s in sets])
+    f = x @ w + bias
+    unlabelled = toxicity_pu.Unlabelled(feats, chosen)
+    loss, by_bias, by_weight = unlabelled.risk(bias, w)
+    p = features.sigmoid(f)
+    assert loss == pytest.approx(np.logaddexp(0, f).mean()) and by_bias == pytest.approx(p.mean()) and np.allclose(by_weight, x.T @ p / len(f))
+    sums, n = unlabelled.spread(w)
+    assert n.sum() == len(f) and (sums * n).sum() / len(f) == pytest.approx((x @ w).mean(), abs=0.01)
+    distinct = {toxicity_pu.min_hashes(s): s for s in sets}
+    counts, total = toxicity_pu.unlabelled_shares(feats, chosen)
+    assert total == len(distinct) and counts.tolist() == [sum(c in s for s in distinct.values()) for c in chosen]
+
+
+def test_nnpu_clipped_step(spark):
+    """Where the estimated loss on negatives is below 0 the step goes up its gradient instead."""
+
+    class Fixed:
+        size = 1
+
+        def risk(self, bias, w):
+            return 0.0, 0.25, np.array([0.5])
+
+        def spread(self, w):
+            return np.zeros(1), np.ones(1)
+
+    _, w = toxicity_pu.nnpu([np.array([0])], Fixed(), 0.5, steps=1, rate=0.01, decay=0.0)
+    # pi E_pos[l(-f)] > 0 = E_unl: the gradient is + pi sigmoid(f) - 0.5 for the weight.
+    s = 1 / (1 + np.exp(-1.0))
+    assert np.sign(1 - w[0]) == np.sign(0.5 * s - 0.5)
+
+
 def test_classifier_edges(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in quality_fm.score(docs, quality_fm.train(docs, none)).collect()} == {0.5}
