@@ -1,10 +1,11 @@
 """HTML main-text extraction: a recurrent labeller of leaf blocks.
 
 A tolerant tokenizer cuts a page into leaf blocks (text between block-level tags; comments, scripts, styles, templates and the head
-are no blocks, unless they are never closed; tags inside math and svg break no block) with their tag paths. Each block becomes the sum of learned vectors of its path parts (tags, class and id words, near and
-far), the mean of learned vectors of its hashed words, and a few lengths and shares. A bidirectional LSTM in numpy reads
+are no blocks, unless never closed; tags inside math and svg break no block) with their tag paths. Each block becomes the sum of learned vectors of its path parts (tags, class and id words, near and
+far), the mean of learned vectors of all its hashed words, and a few lengths and shares. A bidirectional LSTM in numpy reads
 the whole sequence of a page and labels every block main or not, so each decision sees the whole document. It is trained here,
-on pages drawn by a seeded generator (layouts, class names, nested boilerplate, unclosed tags) whose labels are known.
+on pages drawn by a seeded generator (layouts, class names, nested boilerplate, unclosed tags; words of four languages and what menus, notices
+and adverts say) whose labels are known. Words that it does not know have the vector 0.
 
 Defined cases: null or empty html has the empty text; a page without blocks or without a main block has the empty text; unclosed and
 stray tags are tolerated; repeated rows give equal texts; extra columns are ignored; an empty table gives an empty result.
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 
 from .features import Adam, sigmoid
 
-PATHS, WORDS = 1 << 12, 1 << 10
+PATHS, WORDS = 1 << 12, 1 << 12
 PATH_DIM, WORD_DIM, PLAIN, HIDDEN = 24, 8, 8, 24
 WIDE = PATH_DIM + WORD_DIM + PLAIN
 NEAR = 2  # innermost path elements that count as near
@@ -43,6 +44,7 @@ ENDS_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset",
 _token = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>""", re.S)
 _named = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _parts = re.compile(r"[a-z]+")
+_letters = re.compile(r"[^\W\d_]+").findall
 
 
 class Block(NamedTuple):
@@ -129,7 +131,7 @@ def blocks(page: str | None) -> list[Block]:
 def vectors(page: list[Block]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """(path rows, word rows, plain numbers) of each block."""
     path = [np.array([zlib.crc32(p.encode()) % PATHS for p in b.path] or [0], np.int64) for b in page]
-    words = [np.array([zlib.crc32(w.encode()) % WORDS for w in b.text.lower().split()], np.int64) for b in page]
+    words = [np.array([zlib.crc32(w.encode()) % WORDS for w in _letters(b.text.lower())], np.int64) for b in page]
     plain, n = np.zeros((len(page), PLAIN)), max(1, len(page))
     for k, b in enumerate(page):
         size = len(b.text)
@@ -224,6 +226,25 @@ def _gradients(net: Net, pages: list, labels: list[np.ndarray]):
 
 MARK = "\x01"
 
+#: Words of drawn texts: common ones of four languages, and what menus, notices and the like say.
+PROSE = (
+    "the of and to in that was for with his this from they had which were there been one their when who more into time some could other than then its "
+    "people only over after also many before first world long house water country year night state never left while place old think might found light "
+    "der die und das ist nicht ein mit auch sich auf für von war haben werden wird noch nach aber über durch wenn mehr immer zeit jahr menschen land stadt "
+    "le les des une dans est pour pas que qui sur avec son plus par mais nous tout fait être comme temps homme jour monde pays ville eau maison année "
+    "el los las una por con para como pero más este todo sobre entre cuando muy también hasta desde vida tiempo mundo casa hombre país agua ciudad años"
+).split()
+SAYS = {
+    "menu": "home about contact products services blog news login register search menu archive categories tags next previous page top skip content",
+    "advert": "sponsored advertisement buy shop sale free shipping offer deal limited price click order promo discount save",
+    "notice": "cookies improve experience accept reject settings privacy policy consent learn agree continuing site",
+    "form": "subscribe newsletter enter email address send submit name password updates weekly inbox join",
+    "footer": "copyright rights reserved terms service privacy policy imprint impressum contact sitemap powered company inc",
+    "related": "related articles read popular posts trending recommended latest stories like share follow print tweet",
+    "comment": "reply posted said says ago thanks great post agree comment report anonymous leave user wrote nice",
+}
+SAYS = {k: v.split() for k, v in SAYS.items()}
+
 
 def drawn_page(rng: np.random.Generator) -> str:
     """A page whose main blocks begin with MARK."""
@@ -232,9 +253,15 @@ def drawn_page(rng: np.random.Generator) -> str:
     syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve qu mi ça ño ü ß ée ción".split()
     style = pick("{}", "{}", "{}", "{}", "{}***", "{}!!", "| {}", "{}&amp;&amp;", "{},")
     shout = chance(0.1)
+    speaks: list[str] = []  # the kind of block that is being drawn
+
+    def word() -> str:
+        if speaks and chance(0.4):
+            return pick(*SAYS[speaks[-1]])
+        return pick(*SAYS[pick(*SAYS)]) if chance(0.05) else pick(*PROSE)
 
     def words(low: int, high: int) -> str:
-        w = ["".join(pick(*syllables) for _ in range(rng.integers(1, 5))) for _ in range(rng.integers(low, high + 1))]
+        w = [word() for _ in range(rng.integers(low, high + 1))]
         text = " ".join(style.format(x) if chance(0.9) else x for x in w).capitalize() + pick(".", ".", "", "!")
         return text.upper() if shout else text
 
@@ -263,32 +290,42 @@ def drawn_page(rng: np.random.Generator) -> str:
             return f"<p>{pick('', '<b>')}{text}{pick('', '<br>')}"
         return f"<{kind}>{text}</{kind}>"
 
+    def spoken(kind: str, make) -> str:
+        speaks.append(kind)
+        try:
+            return make()
+        finally:
+            speaks.pop()
+
     def comments() -> str:
+        return spoken("comment", commented)
+
+    def commented() -> str:
         one = lambda: f"<{pick('div', 'li', 'article', 'p')}{named('comment', 'comment-body', 'reply', 'user-comment')}><p>{sized()}</p>{pick('', '<span>' + words(1, 3) + '</span>')}"
         tag = pick("div", "section", "ol", "ul")
         return f"<{tag}{named('comments', 'comment-list', 'commentlist', 'responses', 'disqus', 'discussion', 'reader-comments')}>{pick('', f'<h3>{words(1, 3)}</h3>')}" + "".join(one() + pick("</div>", "</li>", "</p>") for _ in range(rng.integers(1, 5))) + f"</{tag}>"
 
     def junk(inside: bool) -> str:
         body = lambda: pick(sized(), f"<p>{sized()}</p>", f"<ul>{links(rng.integers(1, 6))}</ul>", f"<h4>{words(1, 4)}</h4><p>{sized()}</p>", f"<p>{sized()}</p><p>{sized()}</p>")
-        kinds = [
-            lambda: f"<div{named('ad', 'ads', 'advert', 'advertisement', 'banner', 'sponsored', 'sponsor', 'promo', 'adsense')}>{body()}</div>",
-            lambda: f"<aside{named('sidebar', 'related', 'aside', 'widget') if chance(0.5) else ''}>{body()}</aside>",
-            lambda: f"<div{named('sidebar', 'side', 'related', 'related-posts', 'widget', 'recommended', 'more', 'trending', 'popular')}>{body()}</div>",
-            lambda: f"<div{named('share', 'social', 'sharing', 'tags', 'breadcrumb', 'breadcrumbs', 'pagination', 'pager', 'toolbar')}>{pick(links(3), words(1, 8))}</div>",
-            lambda: f"<form{named('newsletter', 'search', 'login', 'subscribe', 'signup', 'contact') if chance(0.5) else ''}>{pick('', f'<p>{sized()}</p>')}<label>{words(1, 4)}</label><input><button>{words(1, 2)}</button></form>",
-            lambda: f"<div{named('cookie', 'cookies', 'notice', 'consent', 'gdpr', 'alert', 'banner', 'popup', 'modal', 'newsletter', 'subscribe', 'message', 'disclaimer', 'privacy')}>{body()}</div>",
-            lambda: f"<nav{named('nav', 'menu', 'toc') if chance(0.3) else ''}>{pick(f'<ul>{links(rng.integers(1, 8))}</ul>', words(2, 8))}</nav>",
-            comments,
+        kinds: list[tuple] = [
+            ("advert", lambda: f"<div{named('ad', 'ads', 'advert', 'advertisement', 'banner', 'sponsored', 'sponsor', 'promo', 'adsense')}>{body()}</div>"),
+            ("related", lambda: f"<aside{named('sidebar', 'related', 'aside', 'widget') if chance(0.5) else ''}>{body()}</aside>"),
+            ("related", lambda: f"<div{named('sidebar', 'side', 'related', 'related-posts', 'widget', 'recommended', 'more', 'trending', 'popular')}>{body()}</div>"),
+            ("related", lambda: f"<div{named('share', 'social', 'sharing', 'tags', 'breadcrumb', 'breadcrumbs', 'pagination', 'pager', 'toolbar')}>{pick(links(3), words(1, 8))}</div>"),
+            ("form", lambda: f"<form{named('newsletter', 'search', 'login', 'subscribe', 'signup', 'contact') if chance(0.5) else ''}>{pick('', f'<p>{sized()}</p>')}<label>{words(1, 4)}</label><input><button>{words(1, 2)}</button></form>"),
+            ("notice", lambda: f"<div{named('cookie', 'cookies', 'notice', 'consent', 'gdpr', 'alert', 'banner', 'popup', 'modal', 'newsletter', 'subscribe', 'message', 'disclaimer', 'privacy')}>{body()}</div>"),
+            ("menu", lambda: f"<nav{named('nav', 'menu', 'toc') if chance(0.3) else ''}>{pick(f'<ul>{links(rng.integers(1, 8))}</ul>', words(2, 8))}</nav>"),
+            ("comment", comments),
         ]
         if not inside:
             kinds += [
-                lambda: f"<footer{named('footer', 'site-footer') if chance(0.3) else ''}>{pick('&copy; ', '')}{body()}</footer>",
-                lambda: f"<div{named('footer', 'bottom', 'copyright', 'legal', 'colophon')}>{pick('&copy; ', '')}{body()}</div>",
-                lambda: f"<header{named('header', 'site-header', 'masthead') if chance(0.3) else ''}><{pick('h1', 'div', 'p', 'h2')}>{words(1, 6)}</{pick('h1', 'div', 'p')}>{pick('', f'<p>{sized()}</p>')}</header>",
-                lambda: f"<div{named('header', 'masthead', 'top', 'topbar', 'logo', 'menu', 'nav', 'navbar', 'navigation', 'skip')}>{body()}</div>",
-                lambda: f"<section{named('comments', 'related', 'newsletter', 'sidebar', 'recommended')}>{body()}</section>",
+                ("footer", lambda: f"<footer{named('footer', 'site-footer') if chance(0.3) else ''}>{pick('&copy; ', '')}{body()}</footer>"),
+                ("footer", lambda: f"<div{named('footer', 'bottom', 'copyright', 'legal', 'colophon')}>{pick('&copy; ', '')}{body()}</div>"),
+                ("menu", lambda: f"<header{named('header', 'site-header', 'masthead') if chance(0.3) else ''}><{pick('h1', 'div', 'p', 'h2')}>{words(1, 6)}</{pick('h1', 'div', 'p')}>{pick('', f'<p>{sized()}</p>')}</header>"),
+                ("menu", lambda: f"<div{named('header', 'masthead', 'top', 'topbar', 'logo', 'menu', 'nav', 'navbar', 'navigation', 'skip')}>{body()}</div>"),
+                ("related", lambda: f"<section{named('comments', 'related', 'newsletter', 'sidebar', 'recommended')}>{body()}</section>"),
             ]
-        return pick(*kinds)()
+        return spoken(*kinds[rng.integers(len(kinds))])
 
     main = pick("article", "article", "article", "main", "section", "div", "div", "td")
     need = main in ("div", "td", "section")
@@ -307,7 +344,7 @@ def drawn_page(rng: np.random.Generator) -> str:
         body = f"<div{named('content', 'text', 'inner', 'wrap') if chance(0.6) else ''}>{body}</div>"
     body = f"<{main}{name}>{body}</{main}>"
     if main == "td":
-        body = f"<table><tr><td{named('menu', 'left', 'sidebar')}>{links(4)}</td>{body}</tr></table>"
+        body = f"<table><tr><td{named('menu', 'left', 'sidebar')}>{spoken('menu', lambda: links(4))}</td>{body}</tr></table>"
     elif main != "main" and chance(0.2):
         body = f"<main>{body}{pick('', comments())}</main>"
     parts = [junk(False) for _ in range(rng.integers(0, 4))] + [body] + [junk(False) for _ in range(rng.integers(0, 4))]
@@ -323,14 +360,16 @@ def drawn(n: int, seed: int):
         found = blocks(drawn_page(rng))
         y = np.array([b.text.startswith(MARK) for b in found], float)
         if len(found):
-            pages.append(vectors([b._replace(text=b.text.lstrip(MARK).strip() or "x") for b in found]))
+            path, words, plain = vectors([b._replace(text=b.text.lstrip(MARK).strip() or "x") for b in found])
+            # Half of the pages speak a language that is not known.
+            pages.append((path, [w[:0] for w in words] if rng.random() < 0.5 else words, plain))
             labels.append(y)
     return pages, labels
 
 
 def train(pages: int = 1_500, epochs: int = 10, batch: int = 25, rate: float = 0.01, seed: int = 3) -> Net:
     rng = np.random.default_rng(seed)
-    net = Net(rng.normal(0, 0.1, (PATHS, PATH_DIM)), rng.normal(0, 0.1, (WORDS, WORD_DIM)), rng.normal(0, 0.15, (2, WIDE, 4 * HIDDEN)), rng.normal(0, 0.15, (2, HIDDEN, 4 * HIDDEN)), np.zeros((2, 4 * HIDDEN)), rng.normal(0, 0.15, 2 * HIDDEN), np.zeros(WIDE), np.zeros(1))
+    net = Net(rng.normal(0, 0.1, (PATHS, PATH_DIM)), np.zeros((WORDS, WORD_DIM)), rng.normal(0, 0.15, (2, WIDE, 4 * HIDDEN)), rng.normal(0, 0.15, (2, HIDDEN, 4 * HIDDEN)), np.zeros((2, 4 * HIDDEN)), rng.normal(0, 0.15, 2 * HIDDEN), np.zeros(WIDE), np.zeros(1))
     net.b[:, HIDDEN : 2 * HIDDEN] = 1
     x, y = drawn(pages, seed)
     opt = Adam([p.shape for p in net], rate)
@@ -372,11 +411,11 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
                 b = whole.slice(at, 256)
                 cut = [blocks(t.as_py()) for t in b.column(b.num_columns - 1)]
                 texts = ["\n".join(x.text for x, m in zip(p, main) if m) for p, main in zip(cut, label(shared.value, cut))]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [*keep, "text", "n_chars"])
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [*[f"c{k}" for k in range(len(keep))], "text", "n_chars"])
 
-    rows = pages.select(*keep, F.col(html_col).alias("__html"))
+    rows = pages.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(keep)], F.col(html_col).cast("string").alias("html"))
     made = T.StructType([*list(rows.schema)[:-1], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return rows.mapInArrow(run, made)
+    return rows.mapInArrow(run, made).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(keep)], "text", "n_chars")
 
 
 def op5_html_extraction(spark, sf_dir: str) -> DataFrame:
