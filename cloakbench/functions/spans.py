@@ -118,7 +118,8 @@ def score_spans(true: Column, pred: Column, level: str = "both", method: str = "
     clean = lambda spans: F.coalesce(F.transform(spans, lambda s: F.struct(value(s["value"]).alias("v"), s["type"].alias("t"))), empty)
 
     def fits(a: Column, b: Column, i: Column, j: Column) -> Column:
-        by_value = value_matches(b["v"], a["v"], method) if hits is None else F.get(F.get(hits, i), j)
+        # hits is named twice so that the optimiser leaves the column that holds it alone.
+        by_value = value_matches(b["v"], a["v"], method) if hits is None else hits.isNotNull() & F.get(F.get(hits, i), j)
         by_type = F.coalesce(a["t"] == b["t"], F.lit(False))
         return {"value": by_value, "type": by_type, "both": by_value & by_type}[level]
 

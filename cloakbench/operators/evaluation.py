@@ -25,8 +25,11 @@ def evaluate(predictions: DataFrame, dataset: DataFrame, models: list[str] | Non
         predictions = predictions.where(F.col("model").isin(models))
     truth = dataset.select("uid", "pii_spans", "category", "attack_target", F.lit(True).alias("__matched"))
     both = predictions.join(truth, "uid", "left").where(attack_allowed())
-    sides = F.col("pii_spans"), F.col("prediction")
-    score = score_by_ratio(*sides, level, method, threshold) if method in ("difflib", "rapidfuzz") else score_spans(*sides, level, method)
+    if method in ("difflib", "rapidfuzz"):
+        both = score_by_ratio(both, "pii_spans", "prediction", "__score", level, method, threshold)
+    else:
+        both = both.withColumn("__score", score_spans(F.col("pii_spans"), F.col("prediction"), level, method))
+    score = F.col("__score")
     zero = F.struct(F.lit(True).alias("exact_match"), *[F.lit(0).alias(n) for n in ("true_positive", "false_positive", "false_negative")], *[F.lit(0.0).alias(n) for n in ("precision", "recall", "f1")])
     return both.select("uid", "model", "prediction", F.when(F.col("__matched").isNull() & score.isNull(), zero).otherwise(score).alias("spans_score"), "category", "attack_target")
 

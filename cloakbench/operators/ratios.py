@@ -89,14 +89,15 @@ def _ratio_hits(true: pd.Series, pred: pd.Series, method: pd.Series, threshold:
     return pd.Series([[[by[m](p, t) >= least for p in (ps if ps is not None else [])] for t in (ts if ts is not None else [])] for ts, ps, m, least in zip(true, pred, method, threshold)])
 
 
-def score_by_ratio(true: Column, pred: Column, level: str = "both", method: str = "rapidfuzz", threshold: float = 0.8, normalized: bool = True) -> Column:
-    """score_spans with values matched by a ratio (difflib or rapidfuzz) of at least `threshold`, rounded to two places."""
+def score_by_ratio(rows: DataFrame, true: str, pred: str, out: str, level: str = "both", method: str = "rapidfuzz", threshold: float = 0.8, normalized: bool = True) -> DataFrame:
+    """rows with score_spans as column `out`, values matched by a ratio (difflib or rapidfuzz) of at least `threshold`, rounded to two places."""
     if method not in ("difflib", "rapidfuzz"):
         raise ValueError(f"unknown method {method!r}")
     value = normalize if normalized else lambda v: F.coalesce(v, F.lit(""))
     side = lambda spans: F.transform(F.coalesce(spans, F.array().cast(f"array<{SPAN}>")), lambda s: value(s["value"]))
-    hits = _ratio_hits(side(true), side(pred), F.lit(method), F.lit(threshold))
-    return score_spans(true, pred, level, normalized=normalized, hits=hits)
+    # A column of its own first: lambdas cannot hold Python functions.
+    matched = rows.withColumn("__hits", _ratio_hits(side(F.col(true)), side(F.col(pred)), F.lit(method), F.lit(threshold)))
+    return matched.withColumn(out, score_spans(F.col(true), F.col(pred), level, normalized=normalized, hits=F.col("__hits"))).drop("__hits")
 
 
 FUZZY = T.ArrayType(T.StructType([T.StructField("value", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("type", T.StringType()), T.StructField("score", T.DoubleType())]))
