@@ -27,18 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, drop_stash, give_back, small_batches, stash
+from .common import documents, drop_stash, give_back, small_batches, stash, summed
 from .features import Adam
 
 BUCKETS = 1 << 18
 CLASSES, MEMBERS, ALONE = 64, 64, 3072
 OUTPUTS = CLASSES * MEMBERS
-SIDE, DIM, HIDDEN = 2, 16, 48
+SIDE, DIM, HIDDEN = 2, 12, 32
 PAD = OUTPUTS
 CHUNK = 1 << 14  # positions scored together
 SLICE = 1 << 12  # positions of a document that are dealt together
 SHARD = 1 << 20  # positions that one copy of the net trains on in a round, about
-BATCH, MIXED = 1 << 11, 1 << 15  # positions of a step; positions whose order is shuffled
+BATCH, MIXED = 1 << 12, 1 << 15  # positions of a step; positions whose order is shuffled
 PIECES = 16  # parts in which a net's numbers are summed
 
 OFFSETS = [k for k in range(-SIDE, SIDE + 1) if k]
@@ -116,9 +116,9 @@ def log_probs(net: Net, line: np.ndarray, at: np.ndarray) -> np.ndarray:
     tables = [net.e @ net.w1[k * DIM : (k + 1) * DIM] for k in range(2 * SIDE)]
     out = np.empty(len(at), np.float32)
     for k in range(0, len(at), CHUNK):
-        own = line[at[k : k + CHUNK]].astype(np.int64)
+        own = line[at[k : k + CHUNK]]
         order = np.argsort(own, kind="stable")
-        p, own = at[k : k + CHUNK][order], own[order]
+        p, own = at[k : k + CHUNK][order], own[order].astype(np.int64)
         cls, mem = np.divmod(own, MEMBERS)
         h = tables[0][line[p + OFFSETS[0]]] + net.b1
         for table, offset in zip(tables[1:], OFFSETS[1:]):
@@ -152,7 +152,7 @@ class Trainer:
 
     def learn(self) -> None:
         if self.held:
-            rows = np.concatenate(self.held).astype(np.int64)
+            rows = np.concatenate(self.held)
             for _ in range(self.passes):
                 for pick in np.array_split(self.rng.permutation(len(rows)), -(-len(rows) // BATCH)):
                     self.step(rows[pick, :-1], rows[pick, -1])
@@ -160,8 +160,9 @@ class Trainer:
         self.held, self.waiting = [], 0
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
+        target = target.astype(np.uint16)  # 16-bit numbers are sorted by their digits
         order, n = np.argsort(target, kind="stable"), len(target)
-        c, (cls, mem) = context[order], np.divmod(target[order], MEMBERS)
+        c, (cls, mem) = context[order].astype(np.uint16), np.divmod(target[order].astype(np.int64), MEMBERS)
         e, w1, b1, wc, bc, wm, bm = self.p
         x = e[c].reshape(n, -1)
         h = np.tanh(x @ w1 + b1)
@@ -180,8 +181,10 @@ class Trainer:
             dh[a:b] += s @ wm[k].T
         dh *= 1 - h * h
         dx = (dh @ w1.T).reshape(-1, DIM)
-        places = (c.ravel()[:, None] * DIM + np.arange(DIM)).ravel()
-        de = np.bincount(places, dx.ravel(), (OUTPUTS + 1) * DIM).reshape(-1, DIM).astype(np.float32)
+        flat, de = c.ravel(), np.zeros_like(e)
+        by = np.argsort(flat, kind="stable")
+        starts = np.flatnonzero(np.diff(flat[by].astype(np.int32), prepend=-1))
+        de[flat[by[starts]]] = np.add.reduceat(dx[by], starts, axis=0)
         self.opt.step(self.p, [de, x.T @ dh, dh.sum(0), h.T @ z, z.sum(0), gm, gb])
 
 
@@ -257,22 +260,12 @@ def _averaged(lines: DataFrame, net: Net, tasks: int, rate: float, passes: int)
             yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array(pieces, pa.binary()), pa.array([n] * PIECES, pa.int64())], ["k", "total", "n"])
         give_back()
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list] = {}
-        for b in batches:
-            for k, x, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-                had = sums.setdefault(k, [0.0, 0])
-                sums[k] = [had[0] + np.frombuffer(x.as_buffer(), np.float64), had[1] + n]
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x, _ in sums.values()], pa.binary()), pa.array([n for _, n in sums.values()], pa.int64())], ["k", "total", "n"])
-
     dealt = lines.repartition(tasks, "shard").sortWithinPartitions("shard", "key", "line").select("shard", "line")
-    made = dealt.mapInArrow(local, "k int, total binary, n long").repartition(PIECES, "k").mapInArrow(add, "k int, total binary, n long")
-    got = sorted(made.toArrow().to_pylist(), key=lambda r: r["k"])
-    return _like(net, np.concatenate([np.frombuffer(r["total"], np.float64) / r["n"] for r in got])) if got else net
+    got = summed(dealt.mapInArrow(local, "k int, total binary, n long"), PIECES)
+    return _like(net, np.concatenate([got[k][0] / got[k][1] for k in range(PIECES)])) if got else net
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 4, passes: int = 1, rate: float = 0.006) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 4, passes: int = 1, rate: float = 0.01) -> Model:
     """passes: how often a shard learns its examples; 1 but for tiny corpora."""
     text = F.col(text_col).cast("string").alias("text")
     with small_batches(docs.sparkSession):
