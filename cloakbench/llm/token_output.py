@@ -36,8 +36,8 @@ COUNT = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 120])
 WIDTH = np.array([60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0])
 FULLEST_FIRST = [15, *range(1, 15)]
 HEAD = struct.Struct("<4sIQQQQQ")
-PIECES_KEPT = 150_000  # entries of a worker's cache, in a young and an old generation each
-AT_ONCE = 3 << 20  # bytes of text that a worker encodes together, or one document
+PIECES_KEPT = 200_000  # entries of a worker's cache, in a young and an old generation each
+AT_ONCE = 6 << 20  # bytes of text that a worker encodes together, or one document
 
 
 def pack(ids: np.ndarray, block: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -292,7 +292,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_c
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(parts, "id", "tie").sortWithinPartitions("id", "tie")
-    with small_batches(spark):
+    with small_batches(spark, 4_000, "16m"):
         rows.select("id", "text").mapInArrow(run, "part int, seq int, n_docs long, n_ids long, shard binary").write.parquet(path)
 
 
