@@ -1,7 +1,7 @@
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -206,6 +206,25 @@ def test_similar(spark, docs):
     assert sorted((str(r.doc_id), str(r.component_id)) for r in got) == sorted((str(d), str(least[part[place[s]]])) for (d, _), s in zip(rows, sets))
 
 
+def test_similar_long_texts(spark):
+    """Over PARITY shingles: wide bits of one and of two widths, links kept and others ruled out."""
+    rng = random.Random(8)
+    rows = []
+    for n in (1500, 2040, 4110):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        for changes in (0, n // 150, n // 60, n // 20):
+            w = list(base)
+            for k in range(changes):
+                w[k * n // changes] = f"c{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+        rows.append((len(rows), " ".join(base[: n * 85 // 100])))
+    sets = [jaccard_sets(t) for _, t in rows]
+    close = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 5 * len(a & b) >= 4 * len(a | b)]
+    part = reached(close, range(len(rows)))
+    got = similar.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == part and 3 < len(set(part.values())) < len(rows)
+
+
 def test_pipeline_links_edited_copies(spark):
     import corpus_pipeline
 
@@ -231,6 +250,9 @@ CASES = [
 ]
 
 
+_read = {}
+
+
 def judged(text, items, width=8, coverage=0.5, shortest=3):
     """Brute force: item -> windows covered."""
     import regex
@@ -238,6 +260,11 @@ def judged(text, items, width=8, coverage=0.5, shortest=3):
     strip = lambda w: regex.sub(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "", w)
 
     def read(t):
+        if t not in _read:
+            _read[t] = read_now(t)
+        return _read[t]
+
+    def read_now(t):
         raw = [w.decode() for w in (t or "").encode().split() if regex.search(r"[\p{L}\p{N}]", w.decode())]
         canon = []
         for k, w in enumerate(raw):
@@ -253,7 +280,16 @@ def judged(text, items, width=8, coverage=0.5, shortest=3):
         return [strip(w).lower() for w in raw], canon
 
     low_doc, canon_doc = read(text)
-    out = {}
+    out, placed = {}, {}
+
+    def places_of(line, w):
+        """Windows of the document by content."""
+        if (id(line), w) not in placed:
+            placed[id(line), w] = defaultdict(list)
+            for j in range(len(line) - w + 1):
+                placed[id(line), w][tuple(line[j : j + w])].append(j)
+        return placed[id(line), w]
+
     for item, t in items:
         low_item, canon_item = read(t)
         w = min(width, len(low_item))
@@ -265,9 +301,8 @@ def judged(text, items, width=8, coverage=0.5, shortest=3):
         places = places or list(range(len(low_item) - w + 1))
         shifts = defaultdict(set)
         for i in places:
-            for j in range(len(a) - w + 1):
-                if a[j : j + w] == b[i : i + w]:
-                    shifts[j - i].add(i)
+            for j in places_of(a, w).get(tuple(b[i : i + w]), []):
+                shifts[j - i].add(i)
         good = {}
         for s, own in shifts.items():
             values = defaultdict(set)
@@ -453,7 +488,8 @@ def test_unlabelled_risk_covers_every_row(spark):
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 40, rng.integers(0, 8))) for _ in range(60)]
     sets += [sets[0]] * 30 + [np.zeros(0, np.int64)] * 20
-    rows = [(k, toxicity_pu.squeezed(x), *toxicity_pu.min_hashes(x)) for k, x in enumerate(sets)]
+    named = {tuple(x): k for k, x in enumerate(sets)}
+    rows = [(k, toxicity_pu.squeezed(x), named[tuple(x)], 0) for k, x in enumerate(sets)]
     feats = spark.createDataFrame(rows, "id long, f binary, m1 long, m2 long").repartition(5)
     chosen, w, bias = np.array([1, 4, 9, 16, 25, 36]), np.array([0.5, -1, 2, 0.1, -0.3, 1.5]), -0.4
     x = np.array([[float(c in s) for c in chosen] for s in sets])
@@ -464,9 +500,8 @@ def test_unlabelled_risk_covers_every_row(spark):
     assert loss == pytest.approx(np.logaddexp(0, f).mean()) and by_bias == pytest.approx(p.mean()) and np.allclose(by_weight, x.T @ p / len(f))
     sums, n = unlabelled.spread(w)
     assert n.sum() == len(f) and (sums * n).sum() / len(f) == pytest.approx((x @ w).mean(), abs=0.01)
-    distinct = {toxicity_pu.min_hashes(s): s for s in sets}
     counts, total = toxicity_pu.unlabelled_shares(feats, chosen)
-    assert total == len(distinct) and counts.tolist() == [sum(c in s for s in distinct.values()) for c in chosen]
+    assert total == len(named) and counts.tolist() == [sum(c in s for s in named) for c in chosen]
 
 
 def test_nnpu_clipped_step(spark):
@@ -574,4 +609,78 @@ def test_pipeline(spark):
 
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").orderBy("start").collect()
     assert got and [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got[:-1]]]).tolist()
-    assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality classifier"
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "SimHash near-dedup", "benchmark decontamination", "mixing sources to target weights", "token-ID / binary output"]
+
+
+def test_pipeline_stages_by_brute_force(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    stages, docs = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{d}/documents.parquet")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    saved = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before, out = docs.collect(), str(tmp_path / name.split()[0])
+        stage(spark, docs, d).write.parquet(out)
+        docs = spark.read.parquet(out)
+        saved[name] = (before, docs.collect())
+        assert name.startswith("token") or docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+    before, after = saved["SimHash near-dedup"]
+    sets = [jaccard_sets(r.text) for r in before]
+    links = [(a.doc_id, before[j].doc_id) for i, a in enumerate(before) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert {r.doc_id for r in after} == set(reached(links, [r.doc_id for r in before]).values())
+    before, after = saved["benchmark decontamination"]
+    assert {r.doc_id for r in after} == {r.doc_id for r in before if not judged(r.text, items)}
+    before, after = saved["mixing sources to target weights"]
+    words, source = {r.doc_id: len((r.text or "").encode().split()) for r in before}, {r.doc_id: r.source for r in before}
+    assert all(n <= 2 for n in Counter(r.doc_id for r in after).values())
+    aims = {r.source: r.target for r in mixing.plan(spark.createDataFrame(before)).select("source", "target").distinct().collect()}
+    for s in set(source.values()):
+        size = sum(n for k, n in words.items() if source[k] == s)
+        aim = aims[s]
+        assert abs(sum(words[r.doc_id] for r in after if r.source == s) - aim) <= max(n for k, n in words.items() if source[k] == s) and aim <= 2 * size
+    before, after = saved["token-ID / binary output"]
+    whole = Tokenizer.from_file(token_output.default_tokenizer())
+    made = [(r.doc_id, whole.encode(r.text or "", add_special_tokens=False).ids + [2]) for r in before]
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in after) == Counter((k, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for k, x in made)
+
+
+def test_pipeline_stages_on_odd_tables(spark, docs, empty):
+    """Nulls, repeated identifiers, extra columns and no rows pass every stage."""
+    import corpus_pipeline
+
+    for rows in (docs, empty):
+        most = 2 * rows.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, rows, "/root/testdata/sf0.001")
+            n = out.count()
+            assert n <= most and (rows is docs or not n), name
+            assert name.startswith("token") or out.columns == rows.columns
+
+
+def test_html_edges(spark):
+    long = "<article>" + "<p>word word word word.</p>" * 3000 + "</article>"
+    rows = spark.createDataFrame([(1, "u", long, "a", 1), (2, "u", PAGE, "b", 2), (2, "u", PAGE, "c", 3)], "page_id long, url string, html string, text string, n_chars long")
+    got = html_extract.extract(rows).orderBy("page_id").collect()
+    assert [len(r.text.split("\n")) for r in got] == [3000, 3, 3] and got[1] == got[2]
+    assert html_extract.extract(rows, keep=("page_id",)).columns == ["page_id", "text", "n_chars"]
+    assert html_extract.extract(rows.limit(0)).count() == 0
+
+
+def test_html_equals_the_article(spark):
+    """On generated pages with one article, its text and no other comes out, white space aside."""
+    import html
+    import re
+
+    squeeze = lambda t: re.sub(r"\s", "", t)
+    found = {r.page_id: r.text for r in html_extract.op5_html_extraction(spark, "/root/testdata/sf0.01").collect()}
+    right = total = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        article = re.findall(r"<article[^>]*>(.*?)</article>", r.html or "", re.S)
+        if len(article) == 1:
+            want = html.unescape(re.sub(r"<!--.*?-->|<(script|style)\b.*?</\1>|<[^>]+>", "", article[0], flags=re.S))
+            total, right = total + 1, right + (squeeze(want) == squeeze(found[r.page_id]))
+    assert total > 200 and right >= total - 1
