@@ -9,7 +9,8 @@ the fold, or a parameter.
 A text's features are the presence of its distinct words (letters only, lower case) and of their first 4, 5 and 6 letters,
 hashed; only features clearly commoner among positives than in unlabelled text carry weight. Labelled positives are at most about
 `most_positive` rows; shares and losses of unlabelled text are summed over every row of the fold, on the executors: a pass reduces texts
-to the features that matter, equal ones are counted together, and each step of the fit adds up their gradients. The driver
+to the features that matter, equal ones are counted together, and each step of the fit adds up their gradients. In the shares, rows of
+equal features count once together where they are more than one in `HEAVY` rows (so at most that many groups are listed). The driver
 holds a number for each feature and the positives alone. Every document is scored by its whole text.
 
 Defined cases: null or empty text has no features and gets the score of the bias; labelled rows without a label are not used;
@@ -36,6 +37,8 @@ from .features import Adam, crc, sampled, sigmoid
 BUCKETS = 1 << 20
 HEADS = (4, 5, 6)
 CACHE = 200_000
+HEAVY = 1 << 16
+PIECES = 16  # parts in which shares are summed
 _letters = re.compile(r"[^\W\d_]+").findall
 
 
@@ -78,38 +81,45 @@ def unsqueezed(data) -> np.ndarray:
     return (np.cumsum(steps + last) - 1)[last]
 
 
-def min_hashes(index: np.ndarray) -> tuple[int, int]:
-    """Near copies mostly agree in both; -1 for no features."""
-    return tuple(int((index.astype(np.uint32) * np.uint32(by) >> np.uint32(7)).min()) if len(index) else -1 for by in (2654435761, 2246822519))
+def hashes(index: np.ndarray) -> tuple[int, int]:
+    """Rows that agree in both have the same features."""
+    import xxhash
+
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(index.tobytes()), "<i8").tolist())
 
 
 def featured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, f, m1, m2) of every document, stored: its features, squeezed, and two min-hashes."""
+    """(id, f, m1, m2) of every document, stored: its features, squeezed, and two hashes of them."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             index = [featurize(t.as_py()) for t in b.column(1)]
-            least = np.array([min_hashes(x) for x in index], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(squeezed, index)), pa.binary()), pa.array(least[:, 0]), pa.array(least[:, 1])], ["id", "f", "m1", "m2"])
+            both = np.array(list(map(hashes, index)), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(squeezed, index)), pa.binary()), pa.array(both[:, 0]), pa.array(both[:, 1])], ["id", "f", "m1", "m2"])
         give_back()
 
     with small_batches(docs.sparkSession):
         return stash(rows.mapInArrow(run, T.StructType([T.StructField("id", rows.schema[0].dataType), T.StructField("f", T.BinaryType()), T.StructField("m1", T.LongType()), T.StructField("m2", T.LongType())])), "features")
 
 
+def _places(chosen: np.ndarray) -> np.ndarray:
+    place = np.full(BUCKETS, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    return place
+
+
 def _reduced(feats: DataFrame, chosen: np.ndarray) -> DataFrame:
-    """(m1, m2, c): the places in chosen of each row's features."""
+    """(c): the places in chosen of each row's features."""
     shared = feats.sparkSession.sparkContext.broadcast(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = np.full(BUCKETS, -1, np.int32)
-        place[shared.value] = np.arange(len(shared.value))
+        place = _places(shared.value)
         for b in batches:
             at = [place[unsqueezed(x.as_buffer())] for x in b.column(0)]
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([x[x >= 0].tobytes() for x in at], pa.binary())], ["m1", "m2", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[x >= 0].tobytes() for x in at], pa.binary())], ["c"])
 
-    return feats.select("f", "m1", "m2").mapInArrow(run, "m1 long, m2 long, c binary")
+    return feats.select("f").mapInArrow(run, "c binary")
 
 
 def _rows_of(cells) -> tuple[np.ndarray, np.ndarray]:
@@ -119,19 +129,26 @@ def _rows_of(cells) -> tuple[np.ndarray, np.ndarray]:
 
 
 def unlabelled_shares(feats: DataFrame, candidates: np.ndarray) -> tuple[np.ndarray, int]:
-    """(rows that hold each candidate, rows), over all rows; near copies, which agree in both min-hashes, count once."""
-    once = _reduced(feats, candidates).groupBy("m1", "m2").agg(F.max("c").alias("c"))
+    """(rows that hold each candidate, rows), over all rows; rows of equal features, if many, count once together."""
+    many = feats.groupBy("m1", "m2").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") > F.lit(feats.count() / HEAVY)))
+    shared = feats.sparkSession.sparkContext.broadcast((candidates, {(r.m1, r.m2): 1 / r.n for r in many.collect()}))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(len(candidates)), 0
+        chosen, part = shared.value
+        place, total, rows = _places(chosen), np.zeros(len(chosen) + 1), 0
         for b in batches:
-            total += np.bincount(_rows_of(b.column(0))[0], minlength=len(candidates))
-            n += b.num_rows
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["k", "total", "n"])
+            for x, m1, m2 in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                at, weight = place[unsqueezed(x.as_buffer())], part.get((m1, m2), 1.0)
+                total[at[at >= 0]] += weight
+                total[-1] += weight
+            rows += b.num_rows
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([x.tobytes() for x in np.array_split(total, PIECES)], pa.binary()), pa.array([rows] * PIECES, pa.int64())], ["k", "total", "n"])
 
-    got = summed(once.select("c").mapInArrow(count, "k int, total binary, n long"), 1)
-    return got.get(0, (np.zeros(len(candidates)), 0))
+    parts = summed(feats.select("f", "m1", "m2").mapInArrow(count, "k int, total binary, n long"), PIECES)
+    # Each group adds up to 1, so whole numbers are due.
+    total = np.rint(np.concatenate([parts[k][0] for k in range(PIECES)])) if parts else np.zeros(len(candidates) + 1)
+    return total[:-1], int(total[-1])
 
 
 def stands_out(in_pos: np.ndarray, n_pos: int, in_unl: np.ndarray, n_unl: int, least_z: float = 5.0) -> np.ndarray:
@@ -187,12 +204,12 @@ class Unlabelled:
         drop_stash(self.rows)
 
 
-def nnpu(positives: list[np.ndarray], unlabelled: Unlabelled, prior: float, steps: int = 40, rate: float = 0.3, decay: float = 1e-4) -> tuple[float, np.ndarray]:
+def nnpu(positives: list[np.ndarray], unlabelled: Unlabelled, prior: float, steps: int = 40, rate: float = 0.1, decay: float = 1e-4, start: float = 1.0) -> tuple[float, np.ndarray]:
     """(bias, weights); positives are sets of places in the chosen features. Each step sees all rows of both sides."""
     base = float(np.log(prior / (1 - prior)))
     at = np.concatenate(positives) if positives else np.zeros(0, np.int64)
     row, n = np.repeat(np.arange(len(positives)), list(map(len, positives))), len(positives)
-    p, opt = [np.full(1, base), np.ones(unlabelled.size)], Adam([(1,), (unlabelled.size,)], rate)
+    p, opt = [np.full(1, base), np.full(unlabelled.size, start)], Adam([(1,), (unlabelled.size,)], rate)
     for step in range(steps):
         opt.rate = rate * (1 - 0.9 * step / steps)
         f = np.bincount(row, p[1][at], n) + p[0][0]
@@ -219,11 +236,11 @@ def train_on(feats: DataFrame, labels: DataFrame, fold: Column, id_col: str = "d
     none = Model(float(np.log(prior / (1 - prior))), np.zeros(BUCKETS, np.float32))
     marked = sampled(known.where("y = 1").select(F.col(id_col).alias("__id")), "__id", most_positive, "toxic")
     # At most about most_positive identifiers are broadcast and so many rows collected, each at most BUCKETS numbers.
-    got = feats.join(F.broadcast(marked), F.col("id") == F.col("__id")).select("f", "m1", "m2").collect()
+    got = feats.join(F.broadcast(marked), F.col("id") == F.col("__id")).select("f").collect()
     if not got:
         return none
     positives = [unsqueezed(r.f) for r in sorted(got, key=lambda r: bytes(r.f))]
-    once = {min_hashes(x): x for x in reversed(positives)}.values()
+    once = {hashes(x): x for x in positives}.values()
     in_pos = np.bincount(np.concatenate(list(once)), minlength=BUCKETS)
     candidates = np.flatnonzero(in_pos >= least_docs)
     own = feats.withColumnRenamed("id", id_col).where(fold)
@@ -231,10 +248,9 @@ def train_on(feats: DataFrame, labels: DataFrame, fold: Column, id_col: str = "d
     chosen = candidates[stands_out(in_pos[candidates], len(once), in_unl, n_unl)]
     if not n_unl or not len(chosen):
         return none
-    place = np.full(BUCKETS, -1, np.int64)
-    place[chosen] = np.arange(len(chosen))
+    place = _places(chosen)
     unlabelled = Unlabelled(own, chosen)
-    bias, weights = nnpu([place[x][place[x] >= 0] for x in positives], unlabelled, prior)
+    bias, weights = nnpu([place[x][place[x] >= 0] for x in positives], unlabelled, prior, start=0.0)
     unlabelled.drop()
     w = np.zeros(BUCKETS, np.float32)
     w[chosen] = weights

@@ -504,6 +504,15 @@ def test_unlabelled_risk_covers_every_row(spark):
     assert total == len(named) and counts.tolist() == [sum(c in s for s in named) for c in chosen]
 
 
+def test_only_equal_features_count_once(spark):
+    """Texts of mostly the same words are rows of their own in the shares, copies are not."""
+    words = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]
+    texts = [" ".join([*words, "x" + "abcdefghij"[k]]) for k in range(10)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts + texts[:1] * 20)], "doc_id long, text string")
+    counts, n = toxicity_pu.unlabelled_shares(toxicity_pu.featured(docs), toxicity_pu.featurize(" ".join(["wordaa", "xa"])))
+    assert n == 10 and sorted(set(counts.tolist())) == [1, 10]
+
+
 def test_nnpu_clipped_step(spark):
     """Where the estimated loss on negatives is below 0 the step goes up its gradient instead."""
 
