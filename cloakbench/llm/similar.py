@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import simhash
 from .common import connected_components, drop_stash, give_back, small_batches, stash
 from .simhash import keep_least
 
@@ -211,3 +212,25 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The documents with the smallest id of each component, as simhash.dedup keeps them."""
     return keep_least(docs, components(docs, id_col, text_col, **how), id_col, text_col)
+
+
+def with_simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """As components, for the links of SimHash (simhash.components: fingerprints within two bits) and those of similarity together.
+
+    Both group texts, so the groups meet by the text's 64-bit hash: rows without identifier link others like any row.
+    """
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.xxhash64(text).alias("key"), text.alias("text"))
+    bits = simhash.components(texts, "key").select("key", F.col("component_id").alias("a")).distinct()
+    sets = components(texts, "key", **how).select("key", F.col("component_id").alias("b")).distinct()
+    both = stash(bits.join(sets, "key"), "both-groups", release=True)
+    whole = connected_components(both.select("a", "b"), "a", "b")
+    owner = both.join(whole, F.col("a") == F.col("node"), "left").select("key", F.coalesce("component", "a").alias("c"))
+    named = stash(docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key")).join(owner, "key").select("id", "c"), "both-named", release=True)
+    least = named.groupBy("c").agg(F.min("id").alias("component_id"))
+    return named.join(least, "c").select(F.col("id").alias(id_col), "component_id")
+
+
+def dedup_with_simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The documents with the smallest id of each component of with_simhash."""
+    return keep_least(docs, with_simhash(docs, id_col, text_col, **how), id_col, text_col)

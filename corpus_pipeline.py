@@ -24,11 +24,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 or more of five-word shingles stays.
+    """One document of each group stays; op1's SimHash links and those of similarity 0.8 or more of five-word shingles make the groups.
 
-    No bound on differing SimHash bits reaches all such pairs, so candidates come from a lossless prefix filter instead (see the README).
+    No bound on differing SimHash bits reaches all similar pairs: a lossless prefix filter finds the rest (see the README).
     """
-    return similar.dedup(docs, shingle=5, least=0.8)
+    return similar.dedup_with_simhash(docs, shingle=5, least=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -235,6 +235,25 @@ def test_pipeline_links_edited_copies(spark):
     assert sorted(r.doc_id for r in dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, frame, "").collect()) == [1, 3]
 
 
+def test_pipeline_links_by_simhash_and_similarity(spark):
+    """1 and the row without identifier are near by fingerprint alone, that row and 2 by similarity alone; 3 is apart."""
+    import corpus_pipeline
+
+    def text(a, b, tail):
+        return " ".join(["red", "green", "blue"] * 200 + [f"{a}{k}" for k in range(60)] + [f"{b}{k}" for k in range(tail)])
+
+    rows = [(1, text("x", "y", 0)), (None, text("z", "u", 0)), (2, text("z", "u", 0).replace("red green blue ", "", 199)), (3, "some other text of its own")]
+    one, bridge, two = (fingerprint(t) for _, t in rows[:3])
+    sets = [jaccard_sets(t) for _, t in rows[:3]]
+    like = lambda a, b: len(a & b) / len(a | b)
+    assert (one ^ bridge).bit_count() <= 2 < (bridge ^ two).bit_count() and like(sets[0], sets[1]) < 0.8 <= like(sets[1], sets[2])
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = similar.with_simhash(frame).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (None, 1), (2, 1), (3, 3)}
+    kept = dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, frame.where("doc_id > 0 OR doc_id IS NULL"), "").collect()
+    assert {r.doc_id for r in kept} == {1, 3, None}
+
+
 ITEMS = [
     (1, "Alice has 12 apples and buys 5 more apples at the market, so Alice pays 12 dollars in total today."), (2, None), (3, "too short"), (4, ""),
     (5, "rivers run slowly to the sea"), (6, "12 34 56 78 90 11 13 15 17"), (7, "In 1969 Neil walked 3 km over dust, Neil then drove 3 km more back to the lander."),
