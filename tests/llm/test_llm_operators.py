@@ -632,6 +632,24 @@ def test_empty_tables(spark, empty):
         assert frame.count() == 0
 
 
+def test_words_of_letters_are_not_split():
+    """Equal to the tokenizer's own ids; only words with other characters, or longer than the letters tried, reach the pattern."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    with open(token_output.default_tokenizer(), encoding="utf-8") as f:
+        spec = f.read()
+    encoder, seen = token_output.Encoder(spec), []
+    split = encoder.pieces_of
+    encoder.pieces_of = lambda line: seen.append(line) or split(line)
+    words = ["Plain", "ÉTÉ", "straße", "ÿ", "x" * 58, "y" * 59, "it's", "a1", "×", "end.", "Ωmega", "'s"]
+    texts = [" ".join(words), "only words Of Letters", "", None, "".join(words)]
+    ids, counts = encoder.encode_batch(pa.array(texts))
+    want = [Tokenizer.from_str(spec).encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == [k for w in want for k in w]
+    assert sorted("\n".join(seen).split()) == sorted(["y" * 59, "it's", "a1", "×", "end.", "'s"])
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
