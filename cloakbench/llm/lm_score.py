@@ -96,18 +96,25 @@ def padded(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return line, np.flatnonzero(line != PAD)
 
 
+def _logits(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A column a position: numpy finds largest and sum along rows of columns several times as fast."""
+    z = w.T @ h.T
+    z += b[:, None]
+    return z
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
-    np.exp(np.subtract(z, z.max(1, keepdims=True), out=z), out=z)
-    z /= z.sum(1, keepdims=True)
+    np.exp(np.subtract(z, z.max(0), out=z), out=z)
+    z /= z.sum(0)
     return z
 
 
 def _own_log(z: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """log softmax of each row at own."""
-    top = z.max(1)
-    picked = z[np.arange(len(own)), own] - top
-    np.exp(np.subtract(z, top[:, None], out=z), out=z)
-    return picked - np.log(z.sum(1))
+    """log softmax of each column at own."""
+    top = z.max(0)
+    picked = z[own, np.arange(len(own))] - top
+    np.exp(np.subtract(z, top, out=z), out=z)
+    return picked - np.log(z.sum(0))
 
 
 def log_probs(net: Net, line: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -124,11 +131,11 @@ def log_probs(net: Net, line: np.ndarray, at: np.ndarray) -> np.ndarray:
         for table, offset in zip(tables[1:], OFFSETS[1:]):
             h += table[line[p + offset]]
         np.tanh(h, out=h)
-        got = _own_log(h @ net.wc + net.bc, cls)
+        got = _own_log(_logits(h, net.wc, net.bc), cls)
         ends = np.searchsorted(cls, np.arange(CLASSES + 1))
         for c in np.flatnonzero(np.diff(ends)):
             a, b = ends[c], ends[c + 1]
-            got[a:b] += _own_log(h[a:b] @ net.wm[c] + net.bm[c], mem[a:b])
+            got[a:b] += _own_log(_logits(h[a:b], net.wm[c], net.bm[c]), mem[a:b])
         out[k : k + CHUNK][order] = got
     return out
 
@@ -166,26 +173,26 @@ class Trainer:
         e, w1, b1, wc, bc, wm, bm = self.p
         x = e[c].reshape(n, -1)
         h = np.tanh(x @ w1 + b1)
-        z = _softmax(h @ wc + bc)
-        z[np.arange(n), cls] -= 1
+        z = _softmax(_logits(h, wc, bc))
+        z[cls, np.arange(n)] -= 1
         z /= n
-        dh = z @ wc.T
+        dh = z.T @ wc.T
         gm, gb = np.zeros_like(wm), np.zeros_like(bm)
         ends = np.searchsorted(cls, np.arange(CLASSES + 1))
         for k in np.flatnonzero(np.diff(ends)):
             a, b = ends[k], ends[k + 1]
-            s = _softmax(h[a:b] @ wm[k] + bm[k])
-            s[np.arange(b - a), mem[a:b]] -= 1
+            s = _softmax(_logits(h[a:b], wm[k], bm[k]))
+            s[mem[a:b], np.arange(b - a)] -= 1
             s /= n
-            gm[k], gb[k] = h[a:b].T @ s, s.sum(0)
-            dh[a:b] += s @ wm[k].T
+            gm[k], gb[k] = h[a:b].T @ s.T, s.sum(1)
+            dh[a:b] += s.T @ wm[k].T
         dh *= 1 - h * h
         dx = (dh @ w1.T).reshape(-1, DIM)
         flat, de = c.ravel(), np.zeros_like(e)
         by = np.argsort(flat, kind="stable")
         starts = np.flatnonzero(np.diff(flat[by].astype(np.int32), prepend=-1))
         de[flat[by[starts]]] = np.add.reduceat(dx[by], starts, axis=0)
-        self.opt.step(self.p, [de, x.T @ dh, dh.sum(0), h.T @ z, z.sum(0), gm, gb])
+        self.opt.step(self.p, [de, x.T @ dh, dh.sum(0), h.T @ z.T, z.sum(1), gm, gb])
 
 
 def _counted(texts: DataFrame) -> np.ndarray:

@@ -632,6 +632,19 @@ def test_empty_tables(spark, empty):
         assert frame.count() == 0
 
 
+def test_masked_lm_softmax_by_columns():
+    """A column a position, stable for logits far from 0."""
+    rng = np.random.default_rng(2)
+    h, w, b, own = rng.normal(size=(7, 3)).astype(np.float32), 200 * rng.normal(size=(3, 5)).astype(np.float32), rng.normal(size=5).astype(np.float32), rng.integers(0, 5, 7)
+    z = lm_score._logits(h, w, b)
+    want = (h @ w + b).astype(float)
+    want -= want.max(1, keepdims=True)
+    want -= np.log(np.exp(want).sum(1, keepdims=True))
+    assert z.shape == (5, 7)
+    assert np.allclose(lm_score._softmax(z.copy()), np.exp(want).T, atol=1e-4)
+    assert np.allclose(lm_score._own_log(z, own), want[np.arange(7), own], rtol=1e-3, atol=1e-3)
+
+
 def test_words_of_letters_are_not_split():
     """Equal to the tokenizer's own ids; only words with other characters, or longer than the letters tried, reach the pattern."""
     import pyarrow as pa
