@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -128,6 +129,28 @@ def extended(words: list[bytes], at: int, other: list[bytes], other_at: int, see
     return low, high
 
 
+def uncovered(lines: list[list[bytes]], low: np.ndarray, high: np.ndarray, at: np.ndarray, before: np.ndarray, length: int, seed_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, start in its document, two hashes) of the windows that chose the line's anchor and do not lie in [low, high).
+
+    The anchor is word `at` of the document and `before` of the line. All lines are hashed as one; windows across two are not asked for.
+    """
+    size = np.array(list(map(len, lines)), np.int64)
+    low, high, at, before = (x.astype(np.int64) for x in (low, high, at, before))
+    first = np.maximum(0, before - (length - seed_words))
+    n = np.maximum(0, np.minimum(before, size - length) - first + 1)
+    own = np.repeat(np.arange(len(lines)), n)
+    if not len(own):
+        return own, own, np.zeros((0, 2), np.uint64)
+    h, begins = _word_hashes(list(chain.from_iterable(lines))), np.cumsum(size) - size
+    grams, least = _seeds(h, length, seed_words)
+    s = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + first[own]
+    start = s + (at - before)[own]
+    keep = least[begins[own] + s] == grams[(begins + before)[own]]
+    keep &= (start < low[own]) | (start + length > high[own])
+    own, s, start = own[keep], s[keep], start[keep]
+    return own, start, _windows(h, length)[begins[own] + s]
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 20, seed_words: int = 8) -> DataFrame:
     """One row per document: id, n_words, n_removed, kept (the words that stay, or null where all do), kept_sha256."""
     if not 0 < seed_words <= length:
@@ -209,24 +232,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     def open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(w1, w2, id, tie, low) of the windows that chose the anchor and do not lie in the range."""
         for b in batches:
-            starts, hashes, rows_of = [], [], []
-            for k, (low, high, at, before, line) in enumerate(zip(*(b.column(c).to_pylist() for c in range(2, 7)))):
-                words = line.encode().split()
-                if len(words) < length:
-                    continue
-                h = _word_hashes(words)
-                grams, least = _seeds(h, length, seed_words)
-                first = at - before
-                s = np.arange(max(0, before - wide), min(before, len(words) - length) + 1)
-                s = s[least[s] == grams[before]]
-                s = s[(s + first < low) | (s + first + length > high)]
-                if len(s):
-                    starts.append(s + first)
-                    hashes.append(_windows(h, length)[s])
-                    rows_of.append(np.full(len(s), k))
-            if starts:
-                take, w = pa.array(np.concatenate(rows_of)), np.concatenate(hashes).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(w[:, 0]), pa.array(w[:, 1]), b.column(0).take(take), b.column(1).take(take), pa.array(np.concatenate(starts), pa.int32())], ["w1", "w2", "id", "tie", "low"])
+            rows_of, starts, w = uncovered([x.encode().split() for x in b.column(6).to_pylist()], *(b.column(c).to_numpy() for c in range(2, 6)), length, seed_words)
+            if len(rows_of):
+                take, w = pa.array(rows_of), w.view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(w[:, 0]), pa.array(w[:, 1]), b.column(0).take(take), b.column(1).take(take), pa.array(starts, pa.int32())], ["w1", "w2", "id", "tie", "low"])
         give_back()
 
     doc_fields = [T.StructField("id", id_type), T.StructField("tie", T.StringType())]

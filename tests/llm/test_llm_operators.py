@@ -632,6 +632,30 @@ def test_empty_tables(spark, empty):
         assert frame.count() == 0
 
 
+def test_uncovered_windows_of_many_lines():
+    """Lines hashed as one give the windows that each gives alone, short lines and those at a document's edges among them."""
+    rng, length, seed = random.Random(6), 20, 8
+    lines, spans, want = [], [], []
+    for k in range(300):
+        words = [b"w%d" % rng.randrange(50) for _ in range(rng.choice([8, 19, 20, 21, 32, 32, 32]))]
+        before = rng.randrange(0, len(words) - seed + 1)
+        at = before + rng.randrange(5)
+        low = at - before + rng.randrange(0, 6)
+        high = rng.choice([low, at - before + len(words) - rng.randrange(0, 6)])
+        lines.append(words)
+        spans.append((low, high, at, before))
+        if len(words) >= length:
+            h = substring_dedup._word_hashes(words)
+            grams, least = substring_dedup._seeds(h, length, seed)
+            for s in range(max(0, before - length + seed), min(before, len(words) - length) + 1):
+                start = s + at - before
+                if least[s] == grams[before] and (start < low or start + length > high):
+                    want.append((k, start, *substring_dedup._windows(h, length)[s].tolist()))
+    own, starts, w = substring_dedup.uncovered(lines, *np.array(spans, np.int32).T, length, seed)
+    assert want and list(zip(own.tolist(), starts.tolist(), *w.T.tolist())) == want
+    assert len(substring_dedup.uncovered(lines[:0], *np.zeros((4, 0), np.int32), length, seed)[0]) == 0
+
+
 def test_masked_lm_softmax_by_columns():
     """A column a position, stable for logits far from 0."""
     rng = np.random.default_rng(2)
