@@ -1,5 +1,10 @@
 import hashlib
+import os
 import random
+import re
+import shutil
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -767,3 +772,29 @@ def test_html_equals_the_article(spark):
             want = html.unescape(re.sub(r"<!--.*?-->|<(script|style)\b.*?</\1>|<[^>]+>", "", article[0], flags=re.S))
             total, right = total + 1, right + (squeeze(want) == squeeze(found[r.page_id]))
     assert total > 200 and right >= total - 1
+
+
+CHILDREN = """
+import corpus_pipeline
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "40").config("spark.sql.adaptive.coalescePartitions.enabled", "false").config("spark.checkpoint.dir", "file://{at}/shared").getOrCreate()
+spark.sparkContext.setLogLevel("ERROR")
+docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+corpus_pipeline.mix(spark, docs, "").write.parquet("file://{at}/out")
+print("rows", spark.read.parquet("file://{at}/out").count())
+"""
+
+
+def test_pipeline_starts_few_processes(tmp_path):
+    """A chmod first on the path notes its calls: until it runs, each such child counts as a second JVM of the executor's size."""
+    (tmp_path / "bin").mkdir()
+    (tmp_path / "bin/chmod").write_text(f'#!/bin/sh\necho "$@" >> {tmp_path}/calls\nexec {shutil.which("chmod")} "$@"\n')
+    (tmp_path / "bin/chmod").chmod(0o755)
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = os.environ | {"PATH": f"{tmp_path}/bin:{os.environ['PATH']}", "PYTHONPATH": f"{root}:{os.environ.get('PYTHONPATH', '')}", "PYSPARK_PYTHON": sys.executable}
+    ran = subprocess.run([sys.executable, "-c", CHILDREN.format(at=tmp_path)], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=200)
+    assert re.search("rows [1-9]", ran.stdout), ran.stderr[-2000:]
+    calls = (tmp_path / "calls").read_text().splitlines() if (tmp_path / "calls").exists() else []
+    assert not [c for c in calls if c.endswith(".crc")]
+    tasks = Counter(c.split("/_temporary/")[0] for c in calls if "/attempt_" in c and "/part-" not in c)
+    assert all(n <= 2 for n in tasks.values()), tasks
